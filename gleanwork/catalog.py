@@ -1,0 +1,11 @@
+"""The registered queries for the engine's own operators."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
