@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .audio import op1_audio_features
+from .html import op3_template_removal
 from .shards import op7_hypergeometric_shards
+from .toxicity import op4_toxicity_cnn
 from .urls import op8_link_trust
 
 
 def queries():
     return {
+        "op1_audio_features": op1_audio_features,
+        "op3_template_removal": op3_template_removal,
+        "op4_toxicity_cnn": op4_toxicity_cnn,
         "op7_hypergeometric_shards": op7_hypergeometric_shards,
         "op8_link_trust": op8_link_trust,
     }
