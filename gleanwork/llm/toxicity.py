@@ -110,8 +110,9 @@ class Model:
         z = self.logit(buckets) - self.threshold.get(lang, self.threshold.get("", 0.0))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.05, seed: int = 11) -> None:
-        """Adagrad on the logistic loss; classes weigh the same. Only the windows that won a maximum take gradients."""
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, passes: int = 40_000, batch: int = 32, rate: float = 0.05, seed: int = 11) -> None:
+        """Adagrad on the logistic loss; classes weigh the same. Only the windows that won a maximum take gradients.
+        Epochs: as many as make about `passes` texts, 8 to 30."""
         rng = np.random.default_rng(seed)
         squares: dict[str, np.ndarray] = {}
         share = np.clip(labels.mean(), 1e-6, 1 - 1e-6)
@@ -123,7 +124,7 @@ class Model:
             s += grad * grad
             return value - rate * grad / np.sqrt(s)
 
-        for _ in range(epochs):
+        for _ in range(min(30, max(8, passes // max(1, len(texts))))):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), batch):
                 pick = order[at : at + batch]
