@@ -181,19 +181,18 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """text, toxic, part: at most per_class rows of each class for part "fit", and half as many for "calibrate", drawn by
-    hash from the labelled documents whose crc32(doc_id as text) mod 5 is not 0."""
+    """text, toxic, part, lot: per_class labels of each class for part "fit", and half as many for "calibrate", drawn by
+    hash from those of documents whose crc32(doc_id as text) mod 5 is not 0. The draw needs the labels alone; at most
+    3 * per_class ids are broadcast to find the texts. A document labelled twice counts as toxic if one label says so."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    lot = F.xxhash64(F.lit("toxicity"), "doc_id")
-    rows = rows.withColumn("lot", lot)
-    found = None
-    for part, remainder, n in (("fit", (0, 1), per_class), ("calibrate", (2,), per_class // 2)):
+    rows = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).withColumn("lot", F.xxhash64(F.lit("toxicity"), "doc_id"))
+    drawn = None
+    for part, remainders, n in (("fit", (0, 1), per_class), ("calibrate", (2,), per_class // 2)):
         for label in (0, 1):
-            one = rows.filter((F.col("toxic") == label) & F.pmod("lot", F.lit(3)).isin(*remainder)).orderBy("lot", "text").limit(n)
-            one = one.select("text", "toxic", F.lit(part).alias("part"))
-            found = one if found is None else found.unionAll(one)
-    return found
+            one = rows.filter((F.col("toxic") == label) & F.pmod("lot", F.lit(3)).isin(*remainders)).orderBy("lot", "doc_id").limit(n)
+            one = one.withColumn("part", F.lit(part))
+            drawn = one if drawn is None else drawn.unionAll(one)
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic", "part", "lot")
 
 
 def _encode(batches):
@@ -201,27 +200,29 @@ def _encode(batches):
 
     vocabulary = Vocabulary()
     for batch in batches:
-        text, toxic, part = (c.to_pylist() for c in batch.columns)
+        text, toxic, part, lot = (c.to_pylist() for c in batch.columns)
         ids, lang = [], []
         for t in text:
             words = WORD.findall((t or "").lower())
             ids.append(vocabulary.buckets(words).astype(np.uint16).tobytes())
             lang.append(guess_language(words))
-        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(part, pa.string()), pa.array(lang, pa.string()), pa.array(ids, pa.binary())], ["toxic", "part", "lang", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(part, pa.string()), pa.array(lang, pa.string()), pa.array(ids, pa.binary()), pa.array(lot, pa.int64())], ["toxic", "part", "lang", "ids", "lot"])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_words: int = 6_000_000) -> Model:
     """A model fitted on the driver to a sample whose bounds are per_class rows and max_words words in all (rows past
     that aren't used). Without both labels in the sample, scores are the classifier's prior."""
-    rows = training_rows(docs, labels, per_class).mapInArrow(_encode, "toxic int, part string, lang string, ids binary")
+    rows = training_rows(docs, labels, per_class).mapInArrow(_encode, "toxic int, part string, lang string, ids binary, lot long")
     sample: dict[str, list] = {"fit": [], "calibrate": []}
     words = 0
     for r in rows.toLocalIterator(prefetchPartitions=True):
         ids = np.frombuffer(r["ids"], np.uint16).astype(np.int32).reshape(-1, PER_WORD)
         words += len(ids)
         if words <= max_words:
-            sample[r["part"]].append((r["toxic"], r["lang"], ids))
+            sample[r["part"]].append((r["toxic"], r["lang"], ids, r["lot"]))
     model = Model()
+    for rows in sample.values():
+        rows.sort(key=lambda x: (x[3], x[2].tobytes()))
     fit = sample["fit"]
     labels_ = np.array([x[0] for x in fit], np.float32)
     if len(fit) and 0 < labels_.mean() < 1:
