@@ -142,16 +142,17 @@ def is_main(node: Node) -> bool:
     return "role" in node.attrs and any(m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").lower() in MAIN_ROLES for m in ATTR.finditer(node.attrs))
 
 
-def subtree_hashes(root: Node, inside_main: bool = False) -> list[int]:
+def subtree_hashes(root: Node) -> list[int]:
     """Marks each element with a 64-bit hash of its subtree (tag, texts and children in order; white space at the
-    edges aside) and returns the hashes of those outside of article and main elements."""
-    out, stack = [], [(root, False, inside_main)]
+    edges aside) and returns the hashes of those that can be a template's: outside of article and main elements, and
+    not within an element that goes anyway (of that, its own hash only)."""
+    out, stack = [], [(root, False, False)]
     while stack:
         node, done, inside = stack.pop()
         if not done:
-            inside = inside or is_main(node)
             stack.append((node, True, inside))
-            stack.extend((k, False, inside) for k in node.kids if isinstance(k, Node))
+            below = inside or is_main(node) or dropped(node)
+            stack.extend((k, False, below) for k in node.kids if isinstance(k, Node))
             continue
         parts = [node.tag]
         for k in node.kids:
@@ -159,8 +160,7 @@ def subtree_hashes(root: Node, inside_main: bool = False) -> list[int]:
                 parts.append(f"<{k.mark:x}>")
             elif k := k.strip():
                 parts.append(k)
-        data = "\x1f".join(parts).encode("utf-8", "surrogatepass")
-        node.mark = xxhash.xxh3_64_intdigest(data)
+        node.mark = xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
         if not inside and node.tag not in ("#root", "html", "body", "br", "meta", "link", "head"):
             out.append(node.mark if node.mark < 1 << 63 else node.mark - (1 << 64))
     return out
