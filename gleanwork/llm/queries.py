@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .audio import op1_audio_features
+from .hpylm import op5_pitman_yor
 from .html import op3_template_removal
 from .mixing import op2_soft_membership_mixing
 from .pieces import op10_piece_nbest
@@ -18,6 +19,7 @@ def queries():
         "op2_soft_membership_mixing": op2_soft_membership_mixing,
         "op3_template_removal": op3_template_removal,
         "op4_toxicity_cnn": op4_toxicity_cnn,
+        "op5_pitman_yor": op5_pitman_yor,
         "op6_vector_approximation": op6_vector_approximation,
         "op7_hypergeometric_shards": op7_hypergeometric_shards,
         "op8_link_trust": op8_link_trust,
