@@ -129,7 +129,7 @@ def make_parts(docs: DataFrame, split: Callable[[str], list[str]], key: str = "d
             keys, texts = batch.column(0), batch.column(1)
             for k in range(len(keys)):
                 t = texts[k].as_py() or ""
-                if ids and held + len(t) > chars:
+                if ids and held + len(t) + 64 > chars:
                     yield flush()
                 words = split(t)
                 for w in set(words).difference(names):
@@ -137,7 +137,7 @@ def make_parts(docs: DataFrame, split: Callable[[str], list[str]], key: str = "d
                 ids.append(keys[k].as_py())
                 lengths.append(len(words))
                 tokens.append(np.fromiter(map(names.__getitem__, words), np.int32, len(words)))
-                held += len(t)
+                held += len(t) + 64  # so that empty texts fill a part, too
         if ids:
             yield flush()
 
@@ -225,7 +225,3 @@ def sum_keys(rows: list[tuple[int, bytes]], dtypes: list) -> tuple[list[int], li
     sums = [np.bincount(places, weights=np.concatenate(v), minlength=len(distinct)) for v in values]
     cuts = np.cumsum([len(k) for k in keys])[:-1]
     return parts, np.split(places, cuts), distinct, sums
-
-
-def count_rows(df: DataFrame) -> int:
-    return df.count()

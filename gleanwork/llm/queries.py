@@ -6,6 +6,7 @@ from .audio import op1_audio_features
 from .hpylm import op5_pitman_yor
 from .html import op3_template_removal
 from .mixing import op2_soft_membership_mixing
+from .neardup import op9_weighted_minhash
 from .pieces import op10_piece_nbest
 from .shards import op7_hypergeometric_shards
 from .toxicity import op4_toxicity_cnn
@@ -23,6 +24,7 @@ def queries():
         "op6_vector_approximation": op6_vector_approximation,
         "op7_hypergeometric_shards": op7_hypergeometric_shards,
         "op8_link_trust": op8_link_trust,
+        "op9_weighted_minhash": op9_weighted_minhash,
         "op10_piece_nbest": op10_piece_nbest,
     }
 
