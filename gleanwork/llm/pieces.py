@@ -14,6 +14,8 @@ from __future__ import annotations
 import heapq
 import os
 import re
+from array import array
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,8 +26,9 @@ from .common import table
 MODEL = os.environ.get("GLEANWORK_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 LITERAL = "\udfff"  # stands for a mark that the text itself has; no valid text holds it
-WORD = re.compile(r" *[^ ]+| +")
-CACHE_WORDS = 300_000
+WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+CACHE_WORDS = 500_000
+_end = itemgetter(0)
 
 
 class Vocabulary:
@@ -55,6 +58,15 @@ class Vocabulary:
             for k in range(1, len(p)):
                 self.trie.setdefault(p[:k], None)
         self.trie.update(pieces)
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for p, (i, score) in pieces.items():
+            self.automaton.add_word(p, (len(p), score, (i,)))
+        if pieces:
+            self.automaton.make_automaton()
+        else:
+            self.automaton = None
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces)
 
     @classmethod
@@ -115,52 +127,41 @@ def n_best(s: str, vocabulary: Vocabulary, n: int) -> list[tuple[float, tuple[in
     return out
 
 
-_NOT = object()
-
-
 def best_and_gap(s: str, vocabulary: Vocabulary) -> tuple[float, float, tuple[int, ...]]:
     """Score and ids of the best segmentation, and how far the second best is below it (inf if there is none): any other
     path has an edge off the best path, and the best path through an edge is known from both sides. The lattice is
-    that of Vocabulary.edges, walked by start."""
-    get, n, low = vocabulary.trie.get, len(s), float("-inf")
+    that of Vocabulary.edges, found by an automaton in order of the edges' ends."""
+    n, low = len(s), float("-inf")
+    edges = list(vocabulary.automaton.iter(s)) if vocabulary.automaton else []
+    alone = {j for j, e in edges if e[0] == 1}
+    if len(alone) < n:
+        edges += [(j, (1, vocabulary.fallback, vocabulary.bytes_of(s[j]))) for j in range(n) if j not in alone]
+        edges.sort(key=_end)
     best = [low] * (n + 1)
     best[0] = 0.0
     back: list = [None] * (n + 1)
-    edges = []
-    for i in range(n):
-        here, alone = best[i], False
-        for j in range(i + 1, n + 1):
-            piece = get(s[i:j], _NOT)
-            if piece is _NOT:
-                break
-            if piece is None:
-                continue
-            if j == i + 1:
-                alone = True
-            edges.append((i, j, piece[1]))
-            score = here + piece[1]
-            if score > best[j] or (score == best[j] and piece[0] < back[j][1][0]):
-                best[j], back[j] = score, (i, (piece[0],))
-        if not alone:
-            ids, score = vocabulary.bytes_of(s[i]), here + vocabulary.fallback
-            edges.append((i, i + 1, vocabulary.fallback))
-            if score > best[i + 1] or (score == best[i + 1] and ids < back[i + 1][1]):
-                best[i + 1], back[i + 1] = score, (i, ids)
-    came, path, node = [-1] * (n + 1), [], n
+    for j, edge in edges:
+        j += 1
+        score = best[j - edge[0]] + edge[1]
+        if score > best[j] or (score == best[j] and edge[2] < back[j][2]):
+            best[j], back[j] = score, edge
+    on, ids, node = set(), (), n
     while node:
-        came[node], ids = back[node]
-        path.append(ids)
-        node = came[node]
+        edge = back[node]
+        on.add((node - 1, edge[0]))
+        ids = edge[2] + ids
+        node -= edge[0]
     behind, other = [low] * (n + 1), low
     behind[n] = 0.0
-    for i, j, score in reversed(edges):
-        through = score + behind[j]
+    for j, (length, score, _) in reversed(edges):
+        through = score + behind[j + 1]
+        i = j + 1 - length
         if through > behind[i]:
             behind[i] = through
         through += best[i]
-        if through > other and came[j] != i:
+        if through > other and (j, length) not in on:
             other = through
-    return best[n], best[n] - other, tuple(i for ids in reversed(path) for i in ids)
+    return best[n], best[n] - other, ids
 
 
 class Encoder:
@@ -177,7 +178,7 @@ class Encoder:
         found = self.old.get(w)
         if found is None:
             score, gap, ids = best_and_gap(w, self.vocabulary)
-            found = (score, gap, np.array(ids, np.int32).tobytes())
+            found = (score, gap, array("i", ids).tobytes())
         if len(self.young) >= CACHE_WORDS:
             self.old, self.young = self.young, {}
         if len(w) <= 64:
@@ -189,8 +190,8 @@ class Encoder:
         s = " " + text
         if SPACE in s:
             s = s.replace(SPACE, LITERAL)
-        parts = WORD.findall(s) if self.vocabulary.by_word else [s]
-        return [p.replace(" ", SPACE) for p in parts]
+        s = s.replace(" ", SPACE)
+        return WORD.findall(s) if self.vocabulary.by_word else [s]
 
     def encode(self, text: str) -> tuple[np.ndarray, list[float], list[list[tuple[int, int, np.ndarray]]]]:
         """Ids of the best segmentation; scores of the n best; and for each of those but the first, what it changes: the
@@ -223,7 +224,8 @@ class Encoder:
                     self.ranked.clear()
                 ranked = self.ranked[words[k]] = n_best(words[k], self.vocabulary, self.n)
             options.append([(ranked[0][0] - s, i) for s, i in ranked[1:]])
-        starts = np.concatenate([[0], np.cumsum([len(f[2]) // 4 for f in found])]) if near else None
+        sizes = [len(f[2]) // 4 for f in found] if near else []
+        starts = {k: sum(sizes[:k]) for k in near}
         # A change is a tuple of (word, rank) in the order of words; each is reached once, from the one without its last.
         heap: list = [(0.0, ())]
         out = []
@@ -239,7 +241,7 @@ class Encoder:
             edit = []
             for at, rank in change:
                 k = near[at]
-                edit.append((int(starts[k]), int(starts[k + 1] - starts[k]), np.array(options[at][rank][1], np.int32)))
+                edit.append((starts[k], sizes[k], np.array(options[at][rank][1], np.int32)))
             edits.append(edit)
         return ids, [total - lost for lost, _ in out], edits
 
