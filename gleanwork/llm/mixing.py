@@ -17,6 +17,7 @@ from .common import materialise, table
 #: Target shares of tokens, by domain "q<quality>t<toxic>" of the labels table; what isn't named shares the rest.
 TARGETS = {"q1t0": 0.85, "q0t0": 0.15, "q0t1": 0.0, "q1t1": 0.0}
 BUCKETS = 4096
+MOST_COPIES = 8.0
 #: Steps between two writes of the rates: the plan stays short, and a lost executor costs these steps at most.
 WRITE_EVERY = 10
 
@@ -27,7 +28,7 @@ def words(text: Column) -> Column:
 
 
 def word_buckets(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("smallint"))
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -37,22 +38,34 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.min(name).alias("domain"))
 
 
-def naive_bayes(docs: DataFrame, labels: DataFrame, smoothing: float = 1.0) -> tuple[list[str], list[float], list[list[float]]]:
-    """Domains, log priors and log likelihoods by bucket, counted over all labelled documents.
+def features(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """at (a number of the row), row (struct of the columns `keep`, or all), doc_id, tokens and b (buckets of the words),
+    written as a table: texts are split once, and the numbers stay."""
+    plain = docs.select(
+        F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), word_buckets(docs["text"]).alias("b")
+    )
+    plain = plain.select(F.monotonically_increasing_id().alias("at"), "row", "doc_id", F.size("b").cast("long").alias("tokens"), "b")
+    return materialise(plain, "features")
 
-    To the driver come BUCKETS counts per domain at most. Without labelled documents: one domain, "all".
+
+def naive_bayes(seen: DataFrame, labels: DataFrame, smoothing: float = 1.0) -> tuple[list[str], list[float], list[list[float]]]:
+    """Domains, log priors and log likelihoods by bucket, counted over all labelled documents of `seen` (doc_id, b).
+
+    Each bucket counts once per document: a long text can't outweigh the others. To the driver come BUCKETS counts per
+    domain at most. The join is the same at every size. Without labelled documents: one domain, "all".
     """
-    known = docs.select("doc_id", "text").join(domain_labels(labels), "doc_id").select("domain", word_buckets(F.col("text")).alias("b"))
-    known = materialise(known, "labelled")
-    prior = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    known = seen.select("doc_id", F.array_distinct("b").alias("b")).hint("merge").join(domain_labels(labels), "doc_id")
+    # Bucket -1 counts the documents themselves.
+    each = known.select("domain", F.explode(F.concat(F.array(F.lit(-1).cast("smallint")), "b")).alias("b"))
+    counted = each.groupBy("domain", "b").agg(F.count("*").alias("n")).collect()
+    prior = {r["domain"]: r["n"] for r in counted if r["b"] < 0}
     if not prior:
         return ["all"], [0.0], [[0.0] * BUCKETS]
-    # Each bucket counts once per document: a long text can't outweigh the others.
-    seen = known.select("domain", F.explode(F.array_distinct("b")).alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n"))
     domains = sorted(prior)
     counts = {d: [smoothing] * BUCKETS for d in domains}
-    for r in seen.collect():
-        counts[r["domain"]][r["b"]] += r["n"]
+    for r in counted:
+        if r["b"] >= 0:
+            counts[r["domain"]][r["b"]] += r["n"]
     total = sum(prior.values())
     like = []
     for d in domains:
@@ -64,27 +77,26 @@ def naive_bayes(docs: DataFrame, labels: DataFrame, smoothing: float = 1.0) -> t
 def _sum_of(places: str, values: list[float]) -> Column:
     """The sum of the values at the places that an array holds."""
     every = F.lit(values)
-    return F.aggregate(places, F.lit(0.0), lambda a, i: a + F.element_at(every, i + 1))
+    return F.aggregate(places, F.lit(0.0), lambda a, i: a + F.element_at(every, i.cast("int") + 1))
 
 
-def posteriors(docs: DataFrame, domains: list[str], prior: list[float], like: list[list[float]], keep: list[str] | None = None, temperature: float = 20.0) -> DataFrame:
-    """The columns `keep` of `docs` (all) as struct `row`, with tokens (long) and p (array: posterior of each domain).
+def posteriors(seen: DataFrame, domains: list[str], prior: list[float], like: list[list[float]], temperature: float = 20.0) -> DataFrame:
+    """at, tokens and p (array: posterior of each domain).
 
     The log likelihood is a mean over the words, times `temperature`: naive Bayes takes words for independent, so that
     sums over thousands would leave no soft membership. A text without words has the prior.
     """
-    plain = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), word_buckets(F.col("text")).alias("b"))
-    plain = plain.withColumn("tokens", F.size("b").cast("long"))
+    plain = seen.select("at", "tokens", "b")
     base = like[0]
     logit = [F.lit(prior[0])]
     for k in range(1, len(domains)):
         total = _sum_of("b", [x - y for x, y in zip(like[k], base)])
         logit.append(F.lit(prior[k]) + F.lit(temperature) * total / F.greatest(F.col("tokens"), F.lit(1)))
-    plain = plain.select("row", "tokens", *[x.alias(f"z{k}") for k, x in enumerate(logit)])
+    plain = plain.select("at", "tokens", *[x.alias(f"z{k}") for k, x in enumerate(logit)])
     top = F.greatest(*[F.col(f"z{k}") for k in range(len(domains))]) if len(domains) > 1 else F.col("z0")
-    plain = plain.select("row", "tokens", *[F.exp(F.col(f"z{k}") - top).alias(f"e{k}") for k in range(len(domains))])
+    plain = plain.select("at", "tokens", *[F.exp(F.col(f"z{k}") - top).alias(f"e{k}") for k in range(len(domains))])
     total = sum((F.col(f"e{k}") for k in range(1, len(domains))), F.col("e0"))
-    return plain.select("row", "tokens", F.array(*[F.col(f"e{k}") / total for k in range(len(domains))]).alias("p"))
+    return plain.select("at", "tokens", F.array(*[F.col(f"e{k}") / total for k in range(len(domains))]).alias("p"))
 
 
 def targets_for(domains: list[str], weights: dict[str, float]) -> list[float]:
@@ -96,11 +108,14 @@ def targets_for(domains: list[str], weights: dict[str, float]) -> list[float]:
     return [x / total for x in found] if total > 0 else [1 / len(domains)] * len(domains)
 
 
-def fit_rates(members: DataFrame, targets: list[float], rounds: int = 100, tolerance: float = 1e-3) -> tuple[DataFrame, list[float]]:
-    """`members` (with tokens and p) with `rate`, and the shares of expected tokens that the rates give.
+def fit_rates(
+    members: DataFrame, targets: list[float], least: float = 0.0, most: float | None = None, rounds: int = 100, tolerance: float = 1e-3
+) -> tuple[DataFrame, list[float]]:
+    """`members` (with tokens and p) with `rate`, and the domains' expected tokens over all tokens there were.
 
-    Minimises |sum of rate * share * p - target|^2 over rates >= 0, share being a document's part of all tokens, by
-    projected gradient from rates of 1 with momentum. The gradient of a rate is share * p.(residual); steps are
+    Minimises |sum of rate * share * p - target|^2 over rates >= least (and <= most), share being a document's part of
+    all tokens, by projected gradient from rates of 1 with momentum. With a `least` of 1 the mixture grows: targets are
+    multiplied by what leaves the most overfull domain as it is. The gradient of a rate is share * p.(residual); steps are
     scaled by 1 / share, so that rates depend on membership and not on length. Every round sums one number per domain.
     Ends at a residual below tolerance (a share of tokens), or when it no longer falls, or after `rounds`.
     """
@@ -108,11 +123,15 @@ def fit_rates(members: DataFrame, targets: list[float], rounds: int = 100, toler
     p = [F.element_at("p", i + 1) for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     first = members.agg(
-        F.sum("tokens").alias("t"), *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"h{i}_{j}") for i, j in pairs]
+        F.sum("tokens").alias("t"), *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"h{i}_{j}") for i, j in pairs],
+        *[F.sum(F.col("tokens") * p[i]).alias(f"s{i}") for i in range(k)],
     ).first()
     if not first["t"]:
         return members.withColumn("rate", F.lit(1.0)), targets
     total = float(first["t"])
+    if least > 0:
+        grow = max([1.0, *(first[f"s{i}"] / total / x for i, x in enumerate(targets) if x > 0)]) * least
+        targets = [x * grow for x in targets]
     # The largest eigenvalue of sum of share * p p', by powers of a k by k matrix.
     h = [[first[f"h{min(i, j)}_{max(i, j)}"] / total for j in range(k)] for i in range(k)]
     v = [1.0] * k
@@ -139,31 +158,32 @@ def fit_rates(members: DataFrame, targets: list[float], rounds: int = 100, toler
         slope = sum((p[i] * float(gradient[i]) for i in range(1, k)), p[0] * float(gradient[0]))
         then = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         push, momentum = (momentum - 1) / then, then
-        state = state.withColumn("new", F.greatest(F.lit(0.0), F.col("ahead") - F.lit(step) * slope))
+        moved = F.greatest(F.lit(float(least)), F.col("ahead") - F.lit(step) * slope)
+        state = state.withColumn("new", moved if most is None else F.least(F.lit(float(most)), moved))
         state = state.withColumn("ahead", F.col("new") + F.lit(push) * (F.col("new") - F.col("rate"))).withColumn("rate", F.col("new")).drop("new")
         if n % WRITE_EVERY == 0:
             state = materialise(state, "rates")
     return state.drop("ahead"), reached
 
 
-def mix(docs: DataFrame, labels: DataFrame, train_on: DataFrame, weights: dict[str, float] | None = None, keep: list[str] | None = None):
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, keep: list[str] | None = None, **limits):
     """(struct `row` of the columns `keep` (all), tokens, p and rate for every row of `docs`; the domains).
 
     Null and empty texts have no tokens and the prior; their rates follow their membership like any other's. Equal
-    texts get equal rates; rows that repeat are documents each. Labels with nulls aren't used. No labels: one domain and
-    rates of 1. No documents: an empty result. Columns of any name pass through in `row`; `text` is read, and `doc_id`
-    of `train_on`, whose labelled documents teach the classifier.
+    texts get equal rates; rows that repeat are documents each. Labels with nulls aren't used; documents with a null
+    doc_id have no label. No labels: one domain and rates of 1. No documents: an empty result. Columns of any name pass
+    through in `row`; `text` and `doc_id` are read. `limits`: those of fit_rates.
     """
-    domains, prior, like = naive_bayes(train_on, labels)
-    members = posteriors(docs, domains, prior, like, keep).withColumn("at", F.monotonically_increasing_id())
-    members = materialise(members, "members")  # fixes the numbers, by which rates (without texts) come back
-    rates = fit_rates(members.select("at", "tokens", "p"), targets_for(domains, TARGETS if weights is None else weights))[0]
-    return members.join(rates.select("at", "rate"), "at").drop("at"), domains
+    seen = features(docs, keep)
+    domains, prior, like = naive_bayes(seen, labels)
+    members = materialise(posteriors(seen, domains, prior, like), "members")
+    rates = fit_rates(members, targets_for(domains, TARGETS if weights is None else weights), **limits)[0]
+    return seen.select("at", "row").join(rates.select("at", "tokens", "p", "rate"), "at").drop("at"), domains
 
 
 def op2_soft_membership_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found, domains = mix(docs, table(spark, sf_dir, "labels"), docs, keep=["doc_id"])
+    found, domains = mix(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
     best = F.array_position("p", F.array_max("p")).cast("int")
     return found.select(
         "row.doc_id", "tokens", F.element_at(F.lit(domains), best).alias("domain"), F.col("p").alias("posterior"), "rate",
@@ -173,8 +193,9 @@ def op2_soft_membership_mixing(spark, sf_dir):
 
 def apply_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: each document is written floor(rate + u) times, u being a number in [0, 1) that its id and text decide;
-    expected tokens of the domains meet their targets."""
-    found, _ = mix(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "text"))
+    expected tokens of the domains meet their targets. Rates are 1 to MOST_COPIES: what lacks tokens is repeated, and
+    every document stays."""
+    found, _ = mix(docs, table(spark, sf_dir, "labels"), least=1.0, most=MOST_COPIES)
     u = F.pmod(F.xxhash64(F.lit("mixing"), "row.doc_id", "row.text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.sequence(F.lit(0), F.floor(F.col("rate") + u).cast("int"))
     return found.select("row", F.explode(copies).alias("copy")).filter("copy > 0").select("row.*")

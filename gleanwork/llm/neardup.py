@@ -1,8 +1,8 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 Equal word sequences are one text from the start. A text's shingles (five words; shorter texts are one shingle) weigh
-their count times 1 + ln(N / df) / ln(N), df being the number of documents that have it: between 1 and 2, so that edits
-of much copied texts, rare by nature, don't outweigh what is copied. Texts with equal samples in all rows of a band meet
+their count times 1 + IDF_SHARE * ln(N / df) / ln(N), df being the number of documents that have it: the spread is kept
+small, so that edits of much copied texts, rare by nature, don't outweigh what is copied. Texts with equal samples in all rows of a band meet
 in a bucket. In each bucket one text is compared with those that aren't yet linked to it; in the next round another,
 and only where a bucket still holds texts of several classes. So a bucket of n texts costs n comparisons a round and not
 n squared. Classes are the connected components of the links.
@@ -22,7 +22,7 @@ from .parts import (
 )
 
 WORD = re.compile(r"[^\W_]+")
-SHINGLE, THRESHOLD = 5, 0.8
+SHINGLE, THRESHOLD, IDF_SHARE = 5, 0.8, 0.25
 BANDS, ROWS = 20, 4  # a pair at the threshold meets in some band with probability 1 - (1 - 0.8**4)**20 > 0.9999
 ROUNDS = 6
 DOC_BITS = 20  # of a text's place in its part
@@ -59,7 +59,7 @@ def shingles(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def weights(count: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
-    return count * (1 + np.log(n_docs / np.maximum(df, 1)) / np.log(max(n_docs, 2)))
+    return count * (1 + IDF_SHARE * np.log(n_docs / np.maximum(df, 1)) / np.log(max(n_docs, 2)))
 
 
 def samples(keys: np.ndarray, weight: np.ndarray, starts: np.ndarray, draws) -> np.ndarray:
