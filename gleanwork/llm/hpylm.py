@@ -13,7 +13,6 @@ of the restaurant; tables of slices are summed afterwards.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -22,18 +21,20 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .parts import (
-    MIX, Part, at_buckets, at_parts, edges_of, join_blobs, make_parts, mix64, pack, send_keys, split_blobs, sum_keys, unpack, word_hashes,
+    MIX, PART_CHARS, Part, at_buckets, at_parts, edges_of, join_blobs, make_parts, mix64, pack, pack_sorted, send_keys, split_blobs,
+    sum_keys, unpack, unpack_sorted, word_hashes,
 )
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 END, START = np.uint64(0x1D8AF066F0A3C1E5), np.uint64(0x7C3E11B9D5F2A8C7)  # hashes of the end token and the first context
-STRENGTH, SWEEPS, BURN_IN = 1.0, 24, 12
+DISH = np.uint64(0xFFFFFFFFFFFF0000)  # in seatings, words are told apart by 48 bits of their hash; counts have all 64
+FROM_BUCKETS = -100  # senders at or below it are buckets, not parts
+STRENGTH, SWEEPS, BURN_IN = 1.0, 20, 10
 SMOOTH = 0.1
 
 
-def split_words(text: str) -> list[str]:
-    return WORD.findall(text.translate(UPPER))
+def split_words(text: str) -> list[bytes]:
+    """Bytes know A-Z only as letters, and space and 9 to 13 only as white space."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def discount_of(counts: np.ndarray) -> float:
@@ -168,56 +169,73 @@ def slices_of(counts: np.ndarray, total: float, n_buckets: int) -> np.ndarray:
 
 
 class Bigrams:
-    """A part's distinct bigrams in the order in which buckets get them."""
+    """A part's distinct bigrams in the order in which buckets get them: by room (a context or a slice of one), then word.
+
+    token: for every token of the texts (ends included) the place of its bigram in that order; word: its word's place.
+    """
 
     def __init__(self, lexicon: Lexicon, c: np.ndarray, n_docs: int, total: float, n_buckets: int):
-        context, word, trains = lexicon.pairs()
+        context, self.word, trains = lexicon.pairs()
         m = len(lexicon.keys)
-        self.code = context * (m + 1) + word
-        distinct = np.unique(self.code)
-        seen = np.bincount(np.searchsorted(distinct, self.code[trains]), minlength=len(distinct)).astype(np.uint32)
+        code = context * (m + 1) + self.word
+        order = np.argsort(code)
+        ranked = code[order]
+        fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
+        group = np.empty(len(code), np.int32)
+        group[order] = np.cumsum(fresh) - 1
+        distinct = ranked[fresh]
+        seen = np.bincount(group[trains], minlength=len(distinct)).astype(np.uint32)
+        del order, ranked, fresh, code, context, trains
         u, w = distinct // (m + 1), distinct % (m + 1)
-        keys = np.concatenate([lexicon.keys, [START]]).astype(np.uint64)
-        of = np.concatenate([c, [n_docs]]).astype(np.float64)
-        slices = slices_of(of, total, n_buckets)
-        salt = (mix64(keys[w]) % slices[u].astype(np.uint64)).astype(np.uint64)
-        room = mix64(keys[u] + salt * MIX)  # a slice's name
-        bucket = np.searchsorted(edges_of(n_buckets), room, side="right")
-        self.order = np.lexsort((keys[w], room))
-        self.distinct, self.u, self.w, self.room, self.bucket = distinct, u, w, room[self.order], bucket[self.order]
-        self.seen, self.slices, self.keys, self.of = seen[self.order], slices, keys, of
-        self.rooms, self.first = np.unique(self.room, return_index=True)
-
-    def send(self, number: int, n_buckets: int, total: float):
-        cuts = np.searchsorted(self.bucket, np.arange(n_buckets + 1))
-        w, u = self.w[self.order], self.u[self.order]
-        for b in range(n_buckets):
-            a, z = cuts[b], cuts[b + 1]
+        self.keys = np.concatenate([lexicon.keys, [START]]).astype(np.uint64)
+        self.of = np.concatenate([c, [n_docs]]).astype(np.float64)
+        self.slices = slices_of(self.of, total, n_buckets)
+        plain, cut = mix64(self.keys), np.flatnonzero(self.slices[u] > 1)
+        room = plain[u]
+        salt = plain[w[cut]] % self.slices[u[cut]].astype(np.uint64)
+        room[cut] = mix64(self.keys[u[cut]] + salt * MIX)
+        order = np.argsort(room, kind="stable")  # words of a context are in order already
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        self.token = back[group]
+        self.u, self.w, self.room, self.seen = u[order], w[order], room[order], seen[order]
+        self.first = np.flatnonzero(np.concatenate([[True], self.room[1:] != self.room[:-1]])) if len(order) else np.zeros(0, np.int64)
+        self.cuts = np.concatenate([[0], np.searchsorted(self.room, edges_of(n_buckets)), [len(order)]]).astype(np.int64)
+
+    def send(self, number: int):
+        place = np.zeros(len(self.keys), np.uint32)
+        mark = np.zeros(len(self.keys), bool)
+        for b, (a, z) in enumerate(zip(self.cuts, self.cuts[1:])):
             if z == a:
                 continue
-            rooms, first, n = np.unique(self.room[a:z], return_index=True, return_counts=True)
-            words, place = np.unique(w[a:z], return_inverse=True)
-            at = u[a:z][first]
+            starts = self.first[np.searchsorted(self.first, a) : np.searchsorted(self.first, z)]
+            w = self.w[a:z]
+            mark[w] = True
+            words = np.flatnonzero(mark)
+            mark[words] = False
+            place[words] = np.arange(len(words), dtype=np.uint32)
+            at = self.u[starts]
             yield number, b, join_blobs([
-                pack(rooms), pack(n.astype(np.uint32)), pack(self.slices[at].astype(np.uint32)), pack(self.keys[at]),
-                pack(self.keys[words]), pack(self.of[words].astype(np.float32)), pack(place.astype(np.uint32)), pack(self.seen[a:z]),
+                pack_sorted(self.room[starts]), pack(np.diff(np.append(starts, z)).astype(np.uint32)), pack(self.slices[at].astype(np.uint32)),
+                pack(self.keys[at] * (self.slices[at] > 1)), pack_sorted(self.keys[words] & DISH),
+                pack(np.round(8 * np.log2(1 + self.of[words])).astype(np.uint8)), pack(place[w]), pack(self.seen[a:z]),
             ])
 
 
-def _seat_bigrams(total: float, distinct_words: float):
+def _seat_bigrams(total: float, distinct_words: float, n_buckets: int):
     def run(bucket: int, rows):
         parts, rooms_, words_, rooms_of, seen_, freq_, slices_, names_ = [], [], [], [], [], [], [], []
         for part, payload in rows:
             b = split_blobs(payload)
-            rooms, n = unpack(b[0], np.uint64), unpack(b[1], np.uint32).astype(np.int64)
+            rooms, n = unpack_sorted(b[0]), unpack(b[1], np.uint32).astype(np.int64)
             place = unpack(b[6], np.uint32).astype(np.int64)
             parts.append(part)
             rooms_of.append(rooms)
             rooms_.append(np.repeat(rooms, n))
             slices_.append(unpack(b[2], np.uint32))
             names_.append(unpack(b[3], np.uint64))
-            words_.append(unpack(b[4], np.uint64)[place])
-            freq_.append(unpack(b[5], np.float32)[place])
+            words_.append(unpack_sorted(b[4])[place])
+            freq_.append(unpack(b[5], np.uint8)[place])
             seen_.append(unpack(b[7], np.uint32).astype(np.int64))
         sizes = [len(s) for s in seen_]
         room_key, word_key = np.concatenate(rooms_), np.concatenate(words_)
@@ -227,20 +245,20 @@ def _seat_bigrams(total: float, distinct_words: float):
         rooms, room = np.unique(room_key[first], return_inverse=True)
         all_rooms, at = np.unique(np.concatenate(rooms_of), return_index=True)
         slices, names = np.concatenate(slices_)[at].astype(np.float64), np.concatenate(names_)[at]
-        parent = (np.concatenate(freq_)[first] + SMOOTH) / (total + SMOOTH * (distinct_words + 1))
+        parent = (2 ** (np.concatenate(freq_)[first] / 8) - 1 + SMOOTH) / (total + SMOOTH * (distinct_words + 1))
         discount = discount_of(count)
         rng = np.random.default_rng([bucket, 5])
         mean, per_room, last = Seating(count, room, len(rooms), parent, slices, discount, STRENGTH, rng).run()
-        # Each dish's tables are customers of the parent; one part reports them: the first that has the dish.
-        reporter = np.zeros(len(dish), bool)
-        reporter[first] = True
-        cuts = np.cumsum(sizes)[:-1]
-        for part, mine, d, r in zip(parts, rooms_of, np.split(dish, cuts), np.split(reporter, cuts)):
+        for part, mine, d in zip(parts, rooms_of, np.split(dish, np.cumsum(sizes)[:-1])):
             at_room = np.searchsorted(rooms, mine)
             yield part, bucket, join_blobs([
-                pack(count[d].astype(np.uint32)), pack(mean[d].astype(np.float32)), pack((last[d] * r).astype(np.uint32)),
+                pack(count[d].astype(np.uint32)), pack(np.round(mean[d] * 16).astype(np.uint32)),
                 pack((per_room[at_room] * slices[at_room]).astype(np.float32)), pack(np.array([discount])),
             ])
+        # Tables are the parent's customers, and go to the words' buckets.
+        words, place = np.unique(word_key[first], return_inverse=True)
+        customers = np.bincount(place, weights=last, minlength=len(words)).astype(np.uint32)
+        yield from send_keys(FROM_BUCKETS - bucket, words, [customers], n_buckets)
         cut = np.flatnonzero(slices > 1)
         yield -1, bucket, join_blobs([pack(names[cut]), pack(per_room[cut])])
 
@@ -264,6 +282,8 @@ def _seat_words(distinct_words: float, n_buckets: int):
         mean, _, _ = seats.run()
         own = np.maximum(customers - discount * mean, 0)
         for part, place in zip(parts, places):
+            if part < 0:
+                continue
             yield part, bucket, join_blobs([pack(own[place])])
         yield -1, bucket, join_blobs([pack(np.array([customers.sum(), (discount * mean).sum()]))])
 
@@ -276,7 +296,7 @@ def _stats(answers: DataFrame) -> np.ndarray:
     return sum((unpack(split_blobs(r["payload"])[0], np.float64) for r in rows), np.zeros(2))
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: int = 12_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: int = PART_CHARS) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row of `docs`.
 
     Learns from the rows whose crc32(key as text) mod 10 is not 0. Null texts are empty: one token, the end. Null keys
@@ -316,9 +336,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", chars:
 
     def send_bigrams(part: Part, got):
         _, _, grams = bigrams_of(part, got)
-        yield from grams.send(part.number, n, total)
+        yield from grams.send(part.number)
 
-    seated = at_buckets(at_parts([parts, words], n, send_bigrams), n, _seat_bigrams(total, distinct_words))
+    seated = at_buckets(at_parts([parts, words], n, send_bigrams), n, _seat_bigrams(total, distinct_words, n))
     seated = seated.withColumn("tag", F.when(F.col("part") >= 0, F.col("tag") + n).otherwise(F.col("tag")))
     cut: dict[int, float] = {}
     for row in seated.filter("part = -1").select("payload").collect():
@@ -326,13 +346,12 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", chars:
         for k, t in zip(unpack(names, np.uint64).tolist(), unpack(tables, np.float64).tolist()):
             cut[k] = cut.get(k, 0.0) + t
 
-    def send_tables(part: Part, got):
-        lex, _, grams = bigrams_of(part, got)
-        new = lex.answers(got, [np.uint32, np.float32, np.uint32], n, n)[2]
-        mine = np.bincount(grams.w[grams.order], weights=new, minlength=len(lex.keys)).astype(np.uint32)
-        yield from send_keys(part.number, lex.keys, [mine], n)
+    def ask_words(part: Part, got):
+        keys = np.unique(Lexicon(part).keys & DISH)
+        yield from send_keys(part.number, keys, [np.zeros(len(keys), np.uint32)], n)
 
-    parents = at_buckets(at_parts([parts, words, seated], n, send_tables), n, _seat_words(distinct_words, n))
+    tables = seated.filter(F.col("part") <= FROM_BUCKETS)
+    parents = at_buckets(at_parts([parts], n, ask_words).unionByName(tables), n, _seat_words(distinct_words, n))
     customers, discounted = _stats(parents)
     parents = parents.withColumn("tag", F.when(F.col("part") >= 0, F.col("tag") + 2 * n).otherwise(F.col("tag")))
     shared = sc.broadcast(cut)
@@ -341,24 +360,23 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", chars:
         import pyarrow as pa
 
         lex, c, grams = bigrams_of(part, got)
-        count_, mean, _ = lex.answers(got, [np.uint32, np.float32, np.uint32], n, n)
-        rooms = [unpack(split_blobs(got[n + b])[3], np.float32) for b in range(n) if n + b in got]
-        discounts = [float(unpack(split_blobs(got[n + b])[4], np.float64)[0]) for b in range(n) if n + b in got]
-        in_bucket = np.unique(grams.bucket, return_inverse=True)[1]
-        d = np.array(discounts)[in_bucket]
-        tables_of_room = np.concatenate(rooms).astype(np.float64)[np.searchsorted(grams.rooms, grams.room)]
-        u = grams.u[grams.order]
+        count_, mean = lex.answers(got, [np.uint32, np.uint32], n, n)
+        mean = mean / 16
+        rooms = [unpack(split_blobs(got[n + b])[2], np.float32) for b in range(n) if n + b in got]
+        discounts = [float(unpack(split_blobs(got[n + b])[3], np.float64)[0]) for b in range(n) if n + b in got]
+        filled = np.flatnonzero(np.diff(grams.cuts))
+        d = np.repeat(np.array(discounts), np.diff(grams.cuts)[filled])
+        sizes = np.diff(np.append(grams.first, len(grams.room)))
+        tables_of_room = np.repeat(np.concatenate(rooms).astype(np.float64), sizes)
+        u = grams.u
         if shared.value:
-            whole = np.array([shared.value.get(k, -1.0) for k in grams.keys.tolist()])
-            tables_of_room = np.where((grams.slices[u] > 1) & (whole[u] >= 0), whole[u], tables_of_room)
-        own = lex.answers(got, [np.float64], 2 * n, n)[0]
+            whole = np.array([shared.value.get(k, -1.0) if s > 1 else -1.0 for k, s in zip(grams.keys.tolist(), grams.slices.tolist())])
+            tables_of_room = np.where(whole[u] >= 0, whole[u], tables_of_room)
+        own = lex.answers(got, [np.float64], 2 * n, n)[0][np.unique(lex.keys & DISH, return_inverse=True)[1]]
         unigram = (own + (STRENGTH + discounted) / (distinct_words + 1)) / (STRENGTH + customers)
-        p = np.maximum(count_ - d * mean, 0) + (STRENGTH + d * tables_of_room) * unigram[grams.w[grams.order]]
+        p = np.maximum(count_ - d * mean, 0) + (STRENGTH + d * tables_of_room) * unigram[grams.w]
         p /= STRENGTH + grams.of[u]
-        log_p = np.empty(len(p))
-        log_p[grams.order] = np.log10(p)
-        _, word, _ = lex.pairs()
-        each = log_p[np.searchsorted(grams.distinct, grams.code)]
+        each, word = np.log10(p)[grams.token], grams.word
         base = np.log10((c + SMOOTH) / (total + SMOOTH * (distinct_words + 1)))[word]
         n_tokens = part.lengths + 1
         starts = np.cumsum(n_tokens) - n_tokens

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 from .parts import (
-    Part, at_buckets, at_parts, join_blobs, make_parts, mix64, pack, pack_sorted, send_keys, split_blobs, sum_keys, unpack, unpack_sorted, word_hashes,
+    PART_CHARS, Part, at_buckets, at_parts, join_blobs, make_parts, mix64, pack, pack_sorted, send_keys, split_blobs, sum_keys, unpack, unpack_sorted, word_hashes,
 )
 
 WORD = re.compile(r"[^\W_]+")
@@ -32,8 +32,9 @@ CHUNK = 1 << 18
 COMPARED = 200  # texts compared with one copy of a bucket's text
 
 
-def split_words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+def split_words(text: str) -> list[bytes]:
+    # One encoding for all: words hold no line feed.
+    return "\n".join(WORD.findall(text.lower())).encode("utf-8", "surrogatepass").split()
 
 
 def _draws(seed: int = 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -202,7 +203,7 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, rounds: int = ROUNDS, chars: int = 12_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, rounds: int = ROUNDS, chars: int = PART_CHARS) -> DataFrame:
     """row (long), key, class_id for every row of `docs`: documents of one class are linked by similarities of at least
     `threshold`. class_id is the least key of the class, class_row the least row; row numbers the rows.
 

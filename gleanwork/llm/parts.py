@@ -10,7 +10,9 @@ of part and bucket, however skewed its keys are: a key is at most one entry of e
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-PART_CHARS = 12_000_000  # of text in one part; a longer text makes a part of its own
+PART_CHARS = 14_000_000  # of text in one part; a longer text makes a part of its own
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,34 +75,34 @@ def mix64(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(31))
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
+def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    return np.fromiter(map(digest, words), np.uint64, len(words))
 
 
 class Part:
     """Documents as numbers of a dictionary: ids (and whether null), lengths in tokens, tokens, words."""
 
-    def __init__(self, number: int, ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, words: list[str]):
+    def __init__(self, number: int, ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, words: list[bytes]):
         self.number, self.ids, self.known, self.lengths, self.tokens, self.words = number, ids, known, lengths, tokens, words
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
 
     def blob(self) -> bytes:
-        text = zlib.compress("\n".join(self.words).encode("utf-8", "surrogatepass"), 1)
+        text = zlib.compress(b"\n".join(self.words), 1)
         return join_blobs([pack(self.ids), pack(self.known), pack(self.lengths), pack(self.tokens), text])
 
     @classmethod
     def of(cls, number: int, blob: bytes) -> Part:
         ids, known, lengths, tokens, text = split_blobs(blob)
-        words = zlib.decompress(text).decode("utf-8", "surrogatepass")
-        return cls(number, unpack(ids, np.int64), unpack(known, np.uint8).astype(bool), unpack(lengths, np.int64), unpack(tokens, np.int32), words.split("\n") if words else [])
+        words = zlib.decompress(text)
+        return cls(number, unpack(ids, np.int64), unpack(known, np.uint8).astype(bool), unpack(lengths, np.int64), unpack(tokens, np.int32), words.split(b"\n") if words else [])
 
 
-def make_parts(docs: DataFrame, split: Callable[[str], list[str]], key: str = "doc_id", text: str = "text", chars: int = PART_CHARS) -> DataFrame:
-    """part, tag (-1), payload: the documents packed, each in one part. `split` gives a text's words, which hold no
+def make_parts(docs: DataFrame, split: Callable[[str], list[bytes]], key: str = "doc_id", text: str = "text", chars: int = PART_CHARS) -> DataFrame:
+    """part, tag (-1), payload: the documents packed, each in one part. `split` gives a text's words in UTF-8, which hold no
     line feed; null texts have none. Written as a table, so that a part stays the same through all later steps."""
 
     def run(batches):
@@ -108,7 +110,7 @@ def make_parts(docs: DataFrame, split: Callable[[str], list[str]], key: str = "d
         from pyspark import TaskContext
 
         base, made = TaskContext.get().partitionId() << 24, 0
-        names: dict[str, int] = {}
+        names = defaultdict(count().__next__)  # a new word takes the next number
         ids, lengths, tokens, held = [], [], [], 0
 
         def flush():
@@ -122,7 +124,7 @@ def make_parts(docs: DataFrame, split: Callable[[str], list[str]], key: str = "d
                 list(names),
             )
             row = pa.RecordBatch.from_arrays([pa.array([part.number], pa.int64()), pa.array([-1], pa.int32()), pa.array([part.blob()], pa.binary())], ["part", "tag", "payload"])
-            made, names, ids, lengths, tokens, held = made + 1, {}, [], [], [], 0
+            made, names, ids, lengths, tokens, held = made + 1, defaultdict(count().__next__), [], [], [], 0
             return row
 
         for batch in batches:
@@ -132,8 +134,6 @@ def make_parts(docs: DataFrame, split: Callable[[str], list[str]], key: str = "d
                 if ids and held + len(t) + 64 > chars:
                     yield flush()
                 words = split(t)
-                for w in set(words).difference(names):
-                    names[w] = len(names)
                 ids.append(keys[k].as_py())
                 lengths.append(len(words))
                 tokens.append(np.fromiter(map(names.__getitem__, words), np.int32, len(words)))
@@ -175,6 +175,15 @@ def _table(rows):
 def at_parts(states: list[DataFrame], n_parts: int, run: Callable[[Part, dict[int, bytes]], Iterator], schema: str = SCHEMA, raw: bool = False) -> DataFrame:
     """`run` at each part, with the answers that it got, by tag. The first of `states` are the parts; the others hold
     rows (part, tag >= 0, payload). Gives the rows (part, tag, payload) that run yields, or if raw its record batches."""
+    if len(states) == 1:  # nothing to bring together: parts are worked on where they lie
+
+        def alone(batches):
+            for batch in batches:
+                for number, blob in zip(batch.column(0).to_pylist(), batch.column(2)):
+                    found = run(Part.of(number, blob.as_py()), {})
+                    yield from found if raw else _table(found)
+
+        return states[0].mapInArrow(alone, schema)
     every = states[0]
     for other in states[1:]:
         every = every.unionByName(other.filter("part >= 0"))
