@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 256  # queries that meet the corpus at once
+QUERY_TERMS = 10_000  # distinct query terms that are told to the scan; beyond it they are joined
 DIGITS = 9  # scores are compared after rounding, so that sums taken in another order tie alike
 
 
@@ -40,23 +41,30 @@ def bm25_scores(parts: DataFrame, queries: DataFrame, k1: float = 1.5, b: float
     """qid, part_id, score of every part that has a query token. parts: part_id, tokens; queries: qid, tokens.
 
     A token that a query repeats counts as often. Okapi weights; a negative idf becomes epsilon times the mean idf of all
-    terms. Statistics cover all parts: filter afterwards. Only the postings of query terms are built: the corpus is
-    exploded once for them and once, after partial sums, for the document frequencies.
+    terms. Statistics cover all parts: filter afterwards. Only postings of query terms are built, with their part's length;
+    other terms are counted only if a query term is in more than half of the parts, for their mean idf.
     """
-    index = lexical_index(parts)
-    corpus = index["corpus"].first()
-    if not corpus["n_docs"]:
-        return parts.sparkSession.createDataFrame([], "qid string, part_id long, score double")
-    n, avgdl = float(corpus["n_docs"]), float(corpus["avgdl"])
-    idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     asked = queries.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    weights = index["terms"].select("term", idf.alias("idf"))
-    mean = weights.agg(F.avg("idf")).first()[0]
-    known = weights.join(asked.select("term").distinct(), "term").withColumn("idf", F.when(F.col("idf") < 0, epsilon * (mean or 0.0)).otherwise(F.col("idf")))
-    hits = index["postings"].join(known, "term").join(asked, "term").join(index["lengths"], "part_id")
+    tokens = F.coalesce("tokens", F.array().cast("array<string>"))
+    length = F.greatest(F.size(tokens), F.lit(1))
+    corpus = parts.agg(F.count("*").alias("n_docs"), F.avg(length).alias("avgdl")).first()
+    n, avgdl = float(corpus["n_docs"]), float(corpus["avgdl"] or 1)
+    wanted = [r["term"] for r in asked.select("term").distinct().limit(QUERY_TERMS + 1).collect()]
+    if len(wanted) <= QUERY_TERMS:
+        each = parts.select("part_id", length.alias("dl"), F.explode(F.filter(tokens, lambda t: t.isin(wanted))).alias("term"))
+    else:
+        each = parts.select("part_id", length.alias("dl"), F.explode(tokens).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    postings = each.groupBy("term", "part_id", "dl").agg(F.count("*").alias("tf"))
+    idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    known = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
+    if not known.filter("idf < 0").isEmpty():
+        every = parts.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        mean = every.agg(F.avg(idf)).first()[0]
+        known = known.withColumn("idf", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf")))
+    weights = known.join(asked, "term").withColumn("weight", F.col("idf") * F.col("times"))
     tf = F.col("tf")
-    gain = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return hits.groupBy("qid", "part_id").agg(F.sum(F.col("times") * gain).alias("score"))
+    gain = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))
+    return postings.join(weights, "term").groupBy("qid", "part_id").agg(F.sum(gain).alias("score"))
 
 
 # ---- dense ----
