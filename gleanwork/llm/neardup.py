@@ -23,12 +23,14 @@ from .parts import (
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE, THRESHOLD, IDF_SHARE = 5, 0.8, 0.25
-BANDS, ROWS = 20, 4  # a pair at the threshold meets in some band with probability 1 - (1 - 0.8**4)**20 > 0.9999
+BANDS, ROWS = 16, 4  # a pair at the threshold meets in some band with probability 1 - (1 - 0.8**4)**16 > 0.9997
 ROUNDS = 6
+OFTEN = 1 << 24  # tags from here on: the shingles of a part that more than one document has
 DOC_BITS = 20  # of a text's place in its part
 KEY_MASK = np.uint64(0xFFFFFFFFFFFF0000)  # shingles are told apart by 48 bits
 TABLE = 1 << 16
 CHUNK = 1 << 18
+MET_ROWS = 500_000  # rows of texts in buckets for one task of a round
 COMPARED = 200  # texts compared with one copy of a bucket's text
 
 
@@ -47,16 +49,26 @@ def _draws(seed: int = 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return r, ln_c, beta, multipliers
 
 
-def shingles(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of a sequence of word hashes, ascending, and their counts."""
+_STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A 48-bit hash for each run of `width` words in a sequence of word hashes."""
+    n = len(hashes) - width + 1
+    h = np.full(max(n, 0), width, np.uint64)
+    for j in range(width):
+        h += hashes[j : n + j] * _STEP[j]
+    return mix64(h) & KEY_MASK
+
+
+def shingles(hashes: np.ndarray, runs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a text's word hashes, ascending, and their counts. runs: its shingle hashes, if known."""
     n = len(hashes)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    width = min(SHINGLE, n)
-    h = np.full(n - width + 1, width, np.uint64)
-    for j in range(width):
-        h = mix64(h ^ hashes[j : n - width + 1 + j]) + np.uint64(j)
-    return np.unique(h & KEY_MASK, return_counts=True)
+    h = np.sort(shingle_hashes(hashes, min(SHINGLE, n)) if runs is None or n < SHINGLE else runs)
+    fresh = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[fresh], np.diff(fresh, append=len(h))
 
 
 def weights(count: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
@@ -102,20 +114,22 @@ class Texts:
     def __init__(self, part: Part, only: np.ndarray | None = None):
         import xxhash
 
-        hashed = word_hashes(part.words)
+        tokens = word_hashes(part.words)[part.tokens] if len(part.words) else np.zeros(0, np.uint64)
+        runs = shingle_hashes(tokens, SHINGLE) if only is None else None
         digest: dict[bytes, int] = {}
         self.of = np.zeros(len(part.ids), np.int64)
         self.first, self.names, keys, counts = [], [], [], []
         pick = range(len(part.ids)) if only is None else only.tolist()
         for i in pick:
-            h = hashed[part.tokens[part.starts[i] : part.ends[i]]]
+            a, z = part.starts[i], part.ends[i]
+            h = tokens[a:z]
             name = xxhash.xxh3_128_digest(h.tobytes())
             k = digest.setdefault(name, len(digest))
             self.of[i] = k
             if k == len(self.names):
                 self.names.append(name)
                 self.first.append(i)
-                s, c = shingles(h)
+                s, c = shingles(h, runs[a : z - SHINGLE + 1] if runs is not None else None)
                 keys.append(s)
                 counts.append(c)
         self.sizes = np.array([len(k) for k in keys], np.int64)
@@ -130,7 +144,10 @@ class Texts:
 def _frequencies(bucket: int, rows):
     parts, places, keys, (df,) = sum_keys(rows, [np.uint32])
     for part, place in zip(parts, places):
-        yield part, bucket, join_blobs([pack(df[place].astype(np.uint32))])
+        here = df[place].astype(np.uint32)
+        yield part, bucket, join_blobs([pack(here)])
+        more = here > 1  # for whoever hasn't all of the part's keys at hand
+        yield part, bucket + OFTEN, join_blobs([pack_sorted(keys[place[more]]), pack(here[more])])
 
 
 def _answers(got: dict[int, bytes], n: int) -> np.ndarray:
@@ -167,34 +184,36 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["center", "other", "similarity"])
 
 
-def compare(pairs: DataFrame, vectors: DataFrame, n_tasks: int) -> DataFrame:
+def compare(pairs: DataFrame, vectors: DataFrame, n_tasks: int, width: int = 8) -> DataFrame:
     """center, other, similarity. A center's shingles go once to every COMPARED of its others, theirs once each."""
     sizes = pairs.groupBy("center").agg(F.ceil(F.count("*") / COMPARED).cast("int").alias("chunks"))
     dealt = pairs.join(sizes, "center").withColumn("chunk", F.pmod(F.xxhash64("other"), F.col("chunks")).cast("int"))
-    dealt = materialise(dealt.select("center", "chunk", "other"), "pairs")
-    others = dealt.join(vectors.withColumnRenamed("text", "other"), "other").select("center", "other", "blob", "chunk")
-    centers = dealt.select("center", "chunk").distinct().join(vectors.withColumnRenamed("text", "center"), "center")
-    centers = centers.select("center", F.lit(None).cast("long").alias("other"), "blob", "chunk")
+    dealt = materialise(dealt.select("center", "chunk", "other").coalesce(width), "pairs")
+    others = dealt.join(vectors.withColumnRenamed("text", "other"), "other").select("center", "other", "blob", "chunk").coalesce(width)
+    centers = dealt.select("center", "chunk").distinct().coalesce(width).join(vectors.withColumnRenamed("text", "center"), "center")
+    centers = centers.select("center", F.lit(None).cast("long").alias("other"), "blob", "chunk").coalesce(width)
     both = centers.unionByName(others).repartition(n_tasks, "center", "chunk")
     both = both.sortWithinPartitions("center", "chunk", F.col("other").asc_nulls_first())
     return both.select("center", "other", "blob").mapInArrow(_compare, "center long, other long, similarity double")
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame, width: int = 8, most: int = 40) -> DataFrame:
     """node, label: of every node of `edges` (u, v), the least node that it is connected with.
 
+    `width` is the number of tasks that a step's results go to: a number that follows the size of the graph.
     Large-star and small-star steps in turn: rounds grow with the logarithm of a component's size, and no component is
     ever in one place."""
-    now = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = materialise(now.coalesce(width), "cc")
     before = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").coalesce(width)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(low, "u")
-        small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = materialise(small, "cc")
+        small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).filter("u <> v")
+        now = materialise(small.coalesce(width).distinct().coalesce(width), "cc")
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before:
             break
@@ -220,22 +239,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         df = np.bincount(place, weights=np.repeat(texts.documents(), texts.sizes), minlength=len(distinct)).astype(np.uint32)
         yield from send_keys(part.number, distinct, [df], n)
 
-    def weighed(part: Part, got, only=None):
-        texts = Texts(part, only)
-        if only is None:
-            distinct = np.unique(texts.keys)
-        else:
-            distinct = np.unique(Texts(part).keys)
-        df = _answers(got, n)[np.searchsorted(distinct, texts.keys)]
-        return texts, weights(texts.counts, df.astype(np.float64), n_docs)
-
     n_docs = docs.count()
     answers = at_buckets(at_parts([parts], n, count), n, _frequencies)
 
     def sign(part: Part, got):
         import pyarrow as pa
 
-        texts, weight = weighed(part, got)
+        texts = Texts(part)
+        df = _answers(got, n)[np.searchsorted(np.unique(texts.keys), texts.keys)]
+        weight = weights(texts.counts, df.astype(np.float64), n_docs)
         full = np.flatnonzero(texts.sizes)
         starts = (np.cumsum(texts.sizes) - texts.sizes)[full]
         bands = np.zeros((len(texts.names), BANDS), np.uint64)
@@ -248,7 +260,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
             pa.array([bands[k].view(np.int64).tolist() if texts.sizes[k] and texts.first[k] == i else [] for i, k in enumerate(texts.of)], pa.list_(pa.int64())),
         ], ["row", "key", "h1", "h2", "bands"])
 
-    signed = materialise(at_parts([parts, answers], n, sign, "row long, key long, h1 long, h2 long, bands array<long>", raw=True), "signed")
+    signed = materialise(at_parts([parts, answers.filter(F.col("tag") < OFTEN)], n, sign, "row long, key long, h1 long, h2 long, bands array<long>", raw=True), "signed")
     # One text of each word sequence: that of its least row, the first of its part and so one with bands.
     texts = signed.groupBy("h1", "h2").agg(F.min("row").alias("text"), F.min("key").alias("key"))
     texts = materialise(texts, "texts")
@@ -256,6 +268,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     met = met.select(F.col("row").alias("text"), F.explode("bands").alias("bucket"))
     shared = met.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     met = materialise(met.join(shared, "bucket", "left_semi"), "met")
+    # Rounds work on little data many times over: their steps get as many tasks as the texts that met are worth.
+    width = max(8, met.count() // MET_ROWS)
+    met = materialise(met.coalesce(width), "met")
 
     wanted = met.select("text").distinct().groupBy(F.shiftright("text", DOC_BITS).alias("part")).agg(
         F.concat_ws(",", F.collect_list((F.col("text").bitwiseAND(F.lit((1 << DOC_BITS) - 1))).cast("string"))).cast("binary").alias("payload")
@@ -264,10 +279,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     def vectors_of(part: Part, got):
         import pyarrow as pa
 
-        if n not in got:
+        if 0 not in got:
             return
-        only = np.array(sorted(map(int, got[n].decode().split(","))), np.int64)
-        found, weight = weighed(part, got, only)
+        only = np.array(sorted(map(int, got[0].decode().split(","))), np.int64)
+        found = Texts(part, only)
+        often = [split_blobs(got[b + OFTEN]) for b in range(n) if b + OFTEN in got]
+        keys = np.concatenate([unpack_sorted(x[0]) for x in often] + [np.array([2**64 - 1], np.uint64)])
+        dfs = np.concatenate([unpack(x[1], np.uint32) for x in often] + [np.array([1], np.uint32)])
+        at = np.searchsorted(keys, found.keys)
+        df = np.where(keys[at] == found.keys, dfs[at], 1)
+        weight = weights(found.counts, df.astype(np.float64), n_docs)
         ends = np.cumsum(found.sizes)
         rows, blobs, held = [], [], 0
         for i in only.tolist():
@@ -280,34 +301,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], ["text", "blob"])
                 rows, blobs, held = [], [], 0
 
-    asked = wanted.select("part", F.lit(n).cast("int").alias("tag"), "payload")
-    vectors = materialise(at_parts([parts, answers, asked], n, vectors_of, "text long, blob binary", raw=True), "vectors")
+    asked = wanted.select("part", F.lit(0).cast("int").alias("tag"), "payload")
+    vectors = materialise(at_parts([parts, answers.filter(F.col("tag") >= OFTEN), asked], n, vectors_of, "text long, blob binary", raw=True), "vectors")
 
-    label = met.select("text").distinct().select("text", F.col("text").alias("label"))
+    alone = materialise(met.select("text").distinct().coalesce(width), "alone")
+    label = alone.select("text", F.col("text").alias("label"))
     tested, links = None, None
     for r in range(rounds):
-        here = met.join(label, "text")
+        here = met.join(label, "text").coalesce(width)
         # The first round's choice is alike in all bands: most pairs are then the same pair.
         order = F.col("text") if r == 0 else F.xxhash64(F.lit(r), "bucket", "text")
         chosen = here.groupBy("bucket").agg(
             F.min(F.struct(order.alias("o"), F.col("text").alias("center"), F.col("label").alias("its"))).alias("c"), F.min("label").alias("a"), F.max("label").alias("b")
         ).filter("a <> b").select("bucket", "c.center", "c.its")
-        pairs = here.join(chosen, "bucket").filter("label <> its").select("center", F.col("text").alias("other")).distinct()
+        pairs = here.join(chosen, "bucket").filter("label <> its").select("center", F.col("text").alias("other")).coalesce(width).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["center", "other"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+        pairs = materialise(pairs.coalesce(width), "pairs")
         if pairs.isEmpty():
             break
-        found = materialise(compare(pairs, vectors, n), "compared")
+        found = materialise(compare(pairs, vectors, n, width), "compared")
         new = found.filter(F.col("similarity") >= threshold).select(F.col("center").alias("u"), F.col("other").alias("v"))
         both = pairs.unionByName(pairs.select(F.col("other").alias("center"), F.col("center").alias("other")))
         tested = both if tested is None else tested.unionByName(both)
         if new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
-        joined = materialise(components(links), "components")
-        label = met.select("text").distinct().join(joined.withColumnRenamed("node", "text"), "text", "left").select("text", F.coalesce("label", "text").alias("label"))
-        label = materialise(label, "labels")
+        joined = components(links, width)
+        label = alone.join(joined.withColumnRenamed("node", "text"), "text", "left").select("text", F.coalesce("label", "text").alias("label"))
+        label = materialise(label.coalesce(width), "labels")
     classes = texts.join(label, "text", "left").select("h1", "h2", "key", "text", F.coalesce("label", "text").alias("label"))
     least = classes.groupBy("label").agg(F.min("key").alias("class_id"), F.min("text").alias("class_row"))
     classes = classes.join(least, "label").select("h1", "h2", "class_id", "class_row")
