@@ -33,6 +33,11 @@ _KO, _CJK = re.compile(f"[{HANGUL}]+"), re.compile(f"[{CJK}]+")
 _OTHER = re.compile(f"[^\\W_{HANGUL}{CJK}]+")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def latin_words(text: Column) -> Column:
     """Lower-cased runs of letters a-z and digits: the part of the tokenizer that SQL can express."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
@@ -116,7 +121,7 @@ def strip_mail_html(source: Column) -> Column:
     t = F.regexp_replace(t, r"(?s)<[^>]+>", "")
     for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("amp", "&")):
         t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
-    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
 def sanitize(text: Column) -> Column:

@@ -6,7 +6,6 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 INDEX_SCHEMA, TOKENIZER_VERSION = "gleanwork-index-1", "script-1"
 
@@ -104,7 +103,7 @@ class IndexStore:
 
 # ---- cases ----
 STATES = {"created": ["indexing", "archived"], "indexing": ["ready", "error"], "ready": ["indexing", "archived"], "error": ["indexing", "archived"], "archived": []}
-CASES = T.StructType.fromDDL("case_id string, name string, status string, sources array<string>, error string, updated timestamp, seq bigint")
+CASES = "case_id string, name string, status string, sources array<string>, error string, updated timestamp, seq bigint"
 
 
 def change_status(cases: DataFrame, case_id: str, to: str) -> DataFrame:
