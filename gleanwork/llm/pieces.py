@@ -27,7 +27,7 @@ MODEL = os.environ.get("GLEANWORK_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.m
 SPACE = "▁"
 LITERAL = "\udfff"  # stands for a mark that the text itself has; no valid text holds it
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE_WORDS = 500_000
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 16_000_000
 _end = itemgetter(0)
 
 
@@ -164,26 +164,43 @@ def best_and_gap(s: str, vocabulary: Vocabulary) -> tuple[float, float, tuple[in
     return best[n], best[n] - other, ids
 
 
+class _Words:
+    """Best segmentations of words: numbers by word, and along them sizes, starts in `flat`, scores and gaps."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.flat, self.size, self.start, self.score, self.gap = array("i"), array("i"), array("q"), array("d"), array("d")
+
+    def add(self, word: str, score: float, gap: float, ids) -> int:
+        k = self.at[word] = len(self.at)
+        self.start.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat.extend(ids)
+        self.score.append(score)
+        self.gap.append(gap)
+        return k
+
+
 class Encoder:
-    """Encodes whole texts; keeps the words that it has met, up to two generations of CACHE_WORDS."""
+    """Encodes whole texts; keeps the words that it has met, and starts anew at CACHE_WORDS of them or CACHE_PIECES pieces."""
 
     def __init__(self, path: str = MODEL, n: int = 4, vocabulary: Vocabulary | None = None):
         self.vocabulary = vocabulary or Vocabulary(path)
         self.n = n
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.known = _Words()
         self.ranked: dict[str, list] = {}
 
-    def _word(self, w: str) -> tuple:
-        found = self.old.get(w)
-        if found is None:
-            score, gap, ids = best_and_gap(w, self.vocabulary)
-            found = (score, gap, array("i", ids).tobytes())
-        if len(self.young) >= CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        if len(w) <= 64:
-            self.young[w] = found
-        return found
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.known.at) >= CACHE_WORDS or len(self.known.flat) >= CACHE_PIECES:
+            self.known = _Words()
+        at = self.known.at
+        found = list(map(at.get, words))
+        if None in found:
+            for i, k in enumerate(found):
+                if k is None:
+                    k = at.get(words[i])
+                    found[i] = self.known.add(words[i], *best_and_gap(words[i], self.vocabulary)) if k is None else k
+        return np.array(found, np.int64)
 
     def words(self, text: str) -> list[str]:
         """The chain of lattices: a space is put before the text; marks of the text's own are set apart."""
@@ -201,11 +218,15 @@ class Encoder:
         """
         if not text:
             return np.zeros(0, np.int32), [0.0], []
-        words, young, miss = self.words(text), self.young, self._word
-        found = [young.get(w) or miss(w) for w in words]
-        ids = np.frombuffer(b"".join([f[2] for f in found]), np.int32)
-        total = float(sum([f[0] for f in found]))
-        gaps = np.array([f[1] for f in found])
+        words = self.words(text)
+        which = self._numbers(words)
+        known = self.known
+        sizes = np.frombuffer(known.size, np.int32)[which]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        places = np.repeat(np.frombuffer(known.start, np.int64)[which] - ends + sizes, sizes) + np.arange(ends[-1])
+        ids = np.frombuffer(known.flat, np.int32)[places]
+        total = float(np.frombuffer(known.score, np.float64)[which].sum())
+        gaps = np.frombuffer(known.gap, np.float64)[which]
         if self.n < 2:
             return ids, [total], []
         # Only changes in the n words that lose least, the earlier of equals, can be among the n best.
@@ -224,8 +245,6 @@ class Encoder:
                     self.ranked.clear()
                 ranked = self.ranked[words[k]] = n_best(words[k], self.vocabulary, self.n)
             options.append([(ranked[0][0] - s, i) for s, i in ranked[1:]])
-        sizes = [len(f[2]) // 4 for f in found] if near else []
-        starts = {k: sum(sizes[:k]) for k in near}
         # A change is a tuple of (word, rank) in the order of words; each is reached once, from the one without its last.
         heap: list = [(0.0, ())]
         out = []
@@ -241,7 +260,7 @@ class Encoder:
             edit = []
             for at, rank in change:
                 k = near[at]
-                edit.append((starts[k], sizes[k], np.array(options[at][rank][1], np.int32)))
+                edit.append((int(ends[k] - sizes[k]), int(sizes[k]), np.array(options[at][rank][1], np.int32)))
             edits.append(edit)
         return ids, [total - lost for lost, _ in out], edits
 
