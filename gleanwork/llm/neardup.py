@@ -134,7 +134,7 @@ class Texts:
                 counts.append(c)
         self.sizes = np.array([len(k) for k in keys], np.int64)
         self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        self.counts = np.concatenate(counts) if keys else np.zeros(0, np.int64)
+        self.counts = np.concatenate(counts).astype(np.int32) if keys else np.zeros(0, np.int32)
 
     def documents(self) -> np.ndarray:
         """Of each text, how many documents of this part have it."""

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-PART_CHARS = 14_000_000  # of text in one part; a longer text makes a part of its own
+PART_CHARS = 10_000_000  # of text in one part; a longer text makes a part of its own
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,6 +82,19 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(digest, words), np.uint64, len(words))
 
 
+def release() -> None:
+    """Gives freed memory back: a worker lives on after its task, and would keep the most that any part needed."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Part:
     """Documents as numbers of a dictionary: ids (and whether null), lengths in tokens, tokens, words."""
 
@@ -182,6 +195,8 @@ def at_parts(states: list[DataFrame], n_parts: int, run: Callable[[Part, dict[in
                 for number, blob in zip(batch.column(0).to_pylist(), batch.column(2)):
                     found = run(Part.of(number, blob.as_py()), {})
                     yield from found if raw else _table(found)
+                    found = None
+                    release()
 
         return states[0].mapInArrow(alone, schema)
     every = states[0]
@@ -193,6 +208,8 @@ def at_parts(states: list[DataFrame], n_parts: int, run: Callable[[Part, dict[in
             got = dict(rows)
             found = run(Part.of(number, got.pop(-1)), got)
             yield from found if raw else _table(found)
+            found = got = rows = None
+            release()
 
     return every.repartition(n_parts, "part").sortWithinPartitions("part", "tag").mapInArrow(go, schema)
 
@@ -204,6 +221,8 @@ def at_buckets(sent: DataFrame, n_buckets: int, run: Callable[[int, list[tuple[i
     def go(batches):
         for bucket, rows in grouped(batches, "tag"):
             yield from _table(run(bucket, rows))
+            rows = None
+            release()
 
     return materialise(sent.repartition(n_buckets, "tag").sortWithinPartitions("tag", "part").mapInArrow(go, SCHEMA), "answers")
 
