@@ -29,7 +29,7 @@ OFTEN = 1 << 24  # tags from here on: the shingles of a part that more than one
 DOC_BITS = 20  # of a text's place in its part
 KEY_MASK = np.uint64(0xFFFFFFFFFFFF0000)  # shingles are told apart by 48 bits
 TABLE = 1 << 16
-CHUNK = 1 << 18
+CHUNK = 1 << 16  # shingles sampled at once: they stay in a core's cache
 MET_ROWS = 500_000  # rows of texts in buckets for one task of a round
 COMPARED = 200  # texts compared with one copy of a bucket's text
 
@@ -82,6 +82,7 @@ def samples(keys: np.ndarray, weight: np.ndarray, starts: np.ndarray, draws) ->
     (shingle, t) of the least ln a = ln c - ln y - r. Of equals, the lesser shingle.
     """
     r_, ln_c, beta_, multipliers = draws
+    inverse, offset = 1 / r_, ln_c - r_ * (1 - beta_)  # ln a = ln c - r (t - beta + 1) = offset - r t
     n = len(starts)
     ends = np.append(starts[1:], len(keys))
     log_w = np.log(weight).astype(np.float32)
@@ -91,17 +92,20 @@ def samples(keys: np.ndarray, weight: np.ndarray, starts: np.ndarray, draws) ->
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, side="right")))
         a, z = starts[at], ends[to - 1]
         k_, w_, s_ = keys[a:z], log_w[a:z], (starts[at:to] - a)
-        sizes = np.diff(np.append(s_, z - a))
-        text = np.repeat(np.arange(to - at), sizes)
+        text = np.repeat(np.arange(to - at), np.diff(np.append(s_, z - a)))
         for k, m in enumerate(multipliers):
-            i = ((k_ * m) >> np.uint64(48)).astype(np.int64)
-            r, beta = r_[i], beta_[i]
-            t = np.floor(w_ / r + beta)
-            ln_a = ln_c[i] - r * (t - beta + 1)
+            i = ((k_ * m) >> np.uint64(48)).view(np.int64)
+            t = inverse.take(i)
+            t *= w_
+            t += beta_.take(i)
+            np.floor(t, out=t)
+            ln_a = r_.take(i)
+            ln_a *= t
+            np.subtract(offset.take(i), ln_a, out=ln_a)
             least = np.minimum.reduceat(ln_a, s_)
-            hit = np.flatnonzero(ln_a == least[text])
-            _, first = np.unique(text[hit], return_index=True)
-            hit = hit[first]
+            hit = np.flatnonzero(ln_a == least.take(text))
+            if len(hit) > to - at:  # the first of equals
+                hit = hit[np.unique(text[hit], return_index=True)[1]]
             band = k // ROWS
             out[at:to, band] = mix64(out[at:to, band] ^ mix64(k_[hit] + t[hit].astype(np.int64).astype(np.uint64)))
         at = to
@@ -306,7 +310,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     alone = materialise(met.select("text").distinct().coalesce(width), "alone")
     label = alone.select("text", F.col("text").alias("label"))
-    tested, links = None, None
+    tested = None
     for r in range(rounds):
         here = met.join(label, "text").coalesce(width)
         # The first round's choice is alike in all bands: most pairs are then the same pair.
@@ -326,9 +330,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         tested = both if tested is None else tested.unionByName(both)
         if new.isEmpty():
             break
-        links = new if links is None else links.unionByName(new)
-        joined = components(links, width)
-        label = alone.join(joined.withColumnRenamed("node", "text"), "text", "left").select("text", F.coalesce("label", "text").alias("label"))
+        # Of the new links, only those between classes matter, and only classes are nodes.
+        of = lambda end: label.select(F.col("text").alias(end), F.col("label").alias(f"l{end}"))
+        between = new.join(of("u"), "u").join(of("v"), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")).filter("u <> v").coalesce(width)
+        joined = components(between, width).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        label = label.join(joined, "label", "left").select("text", F.coalesce("to", "label").alias("label"))
         label = materialise(label.coalesce(width), "labels")
     classes = texts.join(label, "text", "left").select("h1", "h2", "key", "text", F.coalesce("label", "text").alias("label"))
     least = classes.groupBy("label").agg(F.min("key").alias("class_id"), F.min("text").alias("class_row"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-PART_CHARS = 10_000_000  # of text in one part; a longer text makes a part of its own
+PART_CHARS = 13_500_000  # of text in one part; a longer text makes a part of its own
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
