@@ -117,7 +117,8 @@ def fit_rates(
     all tokens, by projected gradient from rates of 1 with momentum. With a `least` of 1 the mixture grows: targets are
     multiplied by what leaves the most overfull domain as it is. The gradient of a rate is share * p.(residual); steps are
     scaled by 1 / share, so that rates depend on membership and not on length. Every round sums one number per domain.
-    Ends at a residual below tolerance (a share of tokens), or when it no longer falls, or after `rounds`.
+    Ends at a residual below tolerance (a share of tokens), or when it no longer falls, or after `rounds`; the best rates
+    that it came by count.
     """
     k = len(targets)
     p = [F.element_at("p", i + 1) for i in range(k)]
@@ -142,20 +143,28 @@ def fit_rates(
     step = 1 / (norm * 1.02)
 
     state = members.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)})
-    momentum, best, stale = 1.0, math.inf, 0
+    momentum, last, stale = 1.0, math.inf, 0
+    best: tuple = (math.inf, state, [0.0] * k)
     for n in range(1, rounds + 1):
         sums = state.agg(
             *[F.sum(F.col("ahead") * F.col("tokens") * p[i]).alias(f"a{i}") for i in range(k)],
             *[F.sum(F.col("rate") * F.col("tokens") * p[i]).alias(f"r{i}") for i in range(k)],
         ).first()
         reached = [sums[f"r{i}"] / total for i in range(k)]
-        error = sum(abs(x - y) for x, y in zip(reached, targets))
-        stale = 0 if error < best * (1 - 1e-3) else stale + 1
-        best = min(best, error)
-        if error < tolerance or stale >= 12:
+        error = math.sqrt(sum((x - y) ** 2 for x, y in zip(reached, targets)))
+        stale = 0 if error < best[0] * (1 - 2e-3) else stale + 1
+        if error < best[0]:
+            best = (error, state, reached)
+        if error < tolerance or stale >= 15:
             break
-        gradient = [sums[f"a{i}"] / total - targets[i] for i in range(k)]
-        slope = sum((p[i] * float(gradient[i]) for i in range(1, k)), p[0] * float(gradient[0]))
+        if error > last:  # momentum has overshot: go on from here without it
+            momentum = 1.0
+            state = state.withColumn("ahead", F.col("rate"))
+            at = reached
+        else:
+            at = [sums[f"a{i}"] / total for i in range(k)]
+        last = error
+        slope = sum((p[i] * float(at[i] - targets[i]) for i in range(1, k)), p[0] * float(at[0] - targets[0]))
         then = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         push, momentum = (momentum - 1) / then, then
         moved = F.greatest(F.lit(float(least)), F.col("ahead") - F.lit(step) * slope)
@@ -163,7 +172,7 @@ def fit_rates(
         state = state.withColumn("ahead", F.col("new") + F.lit(push) * (F.col("new") - F.col("rate"))).withColumn("rate", F.col("new")).drop("new")
         if n % WRITE_EVERY == 0:
             state = materialise(state, "rates")
-    return state.drop("ahead"), reached
+    return best[1].drop("ahead"), best[2]
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, keep: list[str] | None = None, **limits):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .parts import release
 
 WORD = re.compile(r"[^\W_]+")
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 16, (1, 2, 3)
@@ -232,6 +233,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_words:
     else:
         model.out[:] = 0
         model.threshold[""] = 1.0 if not len(fit) or labels_.mean() == 0 else -1.0
+    del sample, fit, rows
+    release()
     return model
 
 
