@@ -118,7 +118,7 @@ class Model:
         squares: dict[str, np.ndarray] = {}
         share = np.clip(labels.mean(), 1e-6, 1 - 1e-6)
         weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-        width, gap = max(WIDTHS), np.zeros((max(WIDTHS) - 1, PER_WORD), np.int32)
+        width, gap = max(WIDTHS), np.zeros((max(WIDTHS) - 1, PER_WORD), np.uint16)
 
         def step(name, value, grad):
             s = squares.setdefault(name, np.full(np.shape(value), 1e-3, np.float32))
@@ -217,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_words:
     sample: dict[str, list] = {"fit": [], "calibrate": []}
     words = 0
     for r in rows.toLocalIterator(prefetchPartitions=True):
-        ids = np.frombuffer(r["ids"], np.uint16).astype(np.int32).reshape(-1, PER_WORD)
+        ids = np.frombuffer(r["ids"], np.uint16).reshape(-1, PER_WORD)
         words += len(ids)
         if words <= max_words:
             sample[r["part"]].append((r["toxic"], r["lang"], ids, r["lot"]))
