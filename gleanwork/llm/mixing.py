@@ -164,12 +164,16 @@ def fit_rates(
         else:
             at = [sums[f"a{i}"] / total for i in range(k)]
         last = error
-        slope = sum((p[i] * float(at[i] - targets[i]) for i in range(1, k)), p[0] * float(at[0] - targets[0]))
         then = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         push, momentum = (momentum - 1) / then, then
-        moved = F.greatest(F.lit(float(least)), F.col("ahead") - F.lit(step) * slope)
+        # Numbers of this round, looked up by a place that comes from the data: as constants they would be compiled into
+        # another class every round, which the driver and all executors would keep.
+        told = F.lit([*(step * (x - y) for x, y in zip(at, targets)), push])
+        number = [F.element_at(told, F.size("p") + F.lit(i + 1 - k)) for i in range(k + 1)]
+        slope = sum((p[i] * number[i] for i in range(1, k)), p[0] * number[0])
+        moved = F.greatest(F.lit(float(least)), F.col("ahead") - slope)
         state = state.withColumn("new", moved if most is None else F.least(F.lit(float(most)), moved))
-        state = state.withColumn("ahead", F.col("new") + F.lit(push) * (F.col("new") - F.col("rate"))).withColumn("rate", F.col("new")).drop("new")
+        state = state.withColumn("ahead", F.col("new") + number[k] * (F.col("new") - F.col("rate"))).withColumn("rate", F.col("new")).drop("new")
         if n % WRITE_EVERY == 0:
             state = materialise(state, "rates")
     return best[1].drop("ahead"), best[2]
