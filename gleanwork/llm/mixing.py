@@ -19,7 +19,7 @@ TARGETS = {"q1t0": 0.85, "q0t0": 0.15, "q0t1": 0.0, "q1t1": 0.0}
 BUCKETS = 4096
 MOST_COPIES = 8.0
 #: Steps between two writes of the rates: the plan stays short, and a lost executor costs these steps at most.
-WRITE_EVERY = 10
+WRITE_EVERY = 4
 
 
 def words(text: Column) -> Column:
