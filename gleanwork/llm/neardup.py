@@ -3,9 +3,10 @@
 Equal word sequences are one text from the start. A text's shingles (five words; shorter texts are one shingle) weigh
 their count times 1 + IDF_SHARE * ln(N / df) / ln(N), df being the number of documents that have it: the spread is kept
 small, so that edits of much copied texts, rare by nature, don't outweigh what is copied. Texts with equal samples in all rows of a band meet
-in a bucket. In each bucket one text is compared with those that aren't yet linked to it; in the next round another,
-and only where a bucket still holds texts of several classes. So a bucket of n texts costs n comparisons a round and not
-n squared. Classes are the connected components of the links.
+in a bucket. In each bucket the text that sits in most buckets is compared with those that aren't yet linked to it, and
+leaves; in later rounds more at a time, and only where a bucket still holds texts of several classes, until none does. So
+all texts that met are compared or linked, and a bucket of n copies of one text costs n comparisons and not n squared.
+Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .parts import (
 WORD = re.compile(r"[^\W_]+")
 SHINGLE, THRESHOLD, IDF_SHARE = 5, 0.8, 0.25
 BANDS, ROWS = 16, 4  # a pair at the threshold meets in some band with probability 1 - (1 - 0.8**4)**16 > 0.9997
-ROUNDS = 6
+MORE = 4  # in round r, buckets get MORE**r centers: a bucket of n classes takes log n rounds
 OFTEN = 1 << 24  # tags from here on: the shingles of a part that more than one document has
 DOC_BITS = 20  # of a text's place in its part
 KEY_MASK = np.uint64(0xFFFFFFFFFFFF0000)  # shingles are told apart by 48 bits
@@ -226,7 +227,7 @@ def components(edges: DataFrame, width: int = 8, most: int = 40) -> DataFrame:
     return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, rounds: int = ROUNDS, chars: int = PART_CHARS) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, chars: int = PART_CHARS) -> DataFrame:
     """row (long), key, class_id for every row of `docs`: documents of one class are linked by similarities of at least
     `threshold`. class_id is the least key of the class, class_row the least row; row numbers the rows.
 
@@ -308,35 +309,52 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     asked = wanted.select("part", F.lit(0).cast("int").alias("tag"), "payload")
     vectors = materialise(at_parts([parts, answers.filter(F.col("tag") >= OFTEN), asked], n, vectors_of, "text long, blob binary", raw=True), "vectors")
 
-    alone = materialise(met.select("text").distinct().coalesce(width), "alone")
-    label = alone.select("text", F.col("text").alias("label"))
-    tested = None
-    for r in range(rounds):
+    label = met.groupBy("text").agg(F.count("*").alias("places")).withColumn("label", F.col("text"))
+    label = materialise(label.coalesce(width), "alone")
+    tested, r = None, 0
+    while True:
         here = met.join(label, "text").coalesce(width)
-        # The first round's choice is alike in all bands: most pairs are then the same pair.
-        order = F.col("text") if r == 0 else F.xxhash64(F.lit(r), "bucket", "text")
-        chosen = here.groupBy("bucket").agg(
-            F.min(F.struct(order.alias("o"), F.col("text").alias("center"), F.col("label").alias("its"))).alias("c"), F.min("label").alias("a"), F.max("label").alias("b")
-        ).filter("a <> b").select("bucket", "c.center", "c.its")
-        pairs = here.join(chosen, "bucket").filter("label <> its").select("center", F.col("text").alias("other")).coalesce(width).distinct()
+        if r:
+            several = here.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("bucket")
+            here = materialise(here.join(several, "bucket", "left_semi").coalesce(width), "open")
+            if here.isEmpty():
+                break
+        best = F.max(F.struct("places", (-F.col("text")).alias("text"))).alias("best")
+        if r:
+            of = here.groupBy("bucket", "label").agg(F.count("*").alias("n"), best)
+            of = of.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("big"), F.sum("n").alias("n"), F.max("best").alias("best"))
+            of = of.select("bucket", (-F.col("best.text")).alias("best"), F.col("big.label").alias("big"), (F.col("n") - F.col("big.n")).alias("outside"))
+            # Where few are outside the largest class, all of them: nothing is left to compare then.
+            share = F.pmod(F.xxhash64(F.lit(r), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+            is_center = (F.col("text") == F.col("best")) | ((F.col("label") != F.col("big")) & ((F.col("outside") <= MORE**r) | (share * F.col("outside") < MORE**r)))
+        else:
+            of = here.groupBy("bucket").agg(best).select("bucket", (-F.col("best.text")).alias("best"))
+            is_center = F.col("text") == F.col("best")
+        marked = here.join(of, "bucket").select("bucket", "text", "label", is_center.alias("is_center")).coalesce(width)
+        if r:
+            marked = materialise(marked, "marked")
+        centers = marked.filter("is_center").select("bucket", F.col("text").alias("center"), F.col("label").alias("its"))
+        pairs = here.join(centers, "bucket").filter("label <> its").select("center", F.col("text").alias("other")).coalesce(width)
+        pairs = pairs.groupBy(F.least("center", "other").alias("a"), F.greatest("center", "other").alias("b")).agg(F.min("center").alias("center"))
         if tested is not None:
-            pairs = pairs.join(tested, ["center", "other"], "left_anti")
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs.coalesce(width), "pairs")
+        met = materialise(marked.filter("not is_center").select("text", "bucket").coalesce(width), "met")
+        r += 1
         if pairs.isEmpty():
-            break
-        found = materialise(compare(pairs, vectors, n, width), "compared")
+            continue
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        found = materialise(compare(pairs.select("center", (F.col("a") + F.col("b") - F.col("center")).alias("other")), vectors, n, width), "compared")
         new = found.filter(F.col("similarity") >= threshold).select(F.col("center").alias("u"), F.col("other").alias("v"))
-        both = pairs.unionByName(pairs.select(F.col("other").alias("center"), F.col("center").alias("other")))
-        tested = both if tested is None else tested.unionByName(both)
         if new.isEmpty():
-            break
+            continue
         # Of the new links, only those between classes matter, and only classes are nodes.
         of = lambda end: label.select(F.col("text").alias(end), F.col("label").alias(f"l{end}"))
         between = new.join(of("u"), "u").join(of("v"), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")).filter("u <> v").coalesce(width)
         joined = components(between, width).select(F.col("node").alias("label"), F.col("label").alias("to"))
-        label = label.join(joined, "label", "left").select("text", F.coalesce("to", "label").alias("label"))
+        label = label.join(joined, "label", "left").select("text", "places", F.coalesce("to", "label").alias("label"))
         label = materialise(label.coalesce(width), "labels")
-    classes = texts.join(label, "text", "left").select("h1", "h2", "key", "text", F.coalesce("label", "text").alias("label"))
+    classes = texts.join(label.select("text", "label"), "text", "left").select("h1", "h2", "key", "text", F.coalesce("label", "text").alias("label"))
     least = classes.groupBy("label").agg(F.min("key").alias("class_id"), F.min("text").alias("class_row"))
     classes = classes.join(least, "label").select("h1", "h2", "class_id", "class_row")
     return signed.select("row", "key", "h1", "h2").join(classes, ["h1", "h2"]).select("row", "key", "class_id", "class_row")

@@ -249,6 +249,32 @@ def test_op9_against_all_pairs(spark):
     assert neardup.near_duplicates(table(spark, [])).count() == 0
 
 
+def edited(rng, words, k):
+    t = list(words)
+    for i in range(k):
+        t[len(t) * i // k + rng.randrange(len(t) // k - 6)] = f"e{rng.randrange(10**9)}"
+    return t
+
+
+def test_op9_hub_of_edits_unlike_each_other(spark):
+    rng = __import__("random").Random(3)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(base if k == 1200 else edited(rng, base, 3))) for k in range(2000)]
+    got = neardup.near_duplicates(table(spark, rows)).collect()
+    assert {r["class_id"] for r in got} == {0} and len(got) == 2000
+
+
+def test_op9_tree_of_edits_against_all_pairs(spark):
+    rng = __import__("random").Random(4)
+    texts = [[f"w{k}" for k in range(200)]]
+    while len(texts) < 250:
+        texts.append(edited(rng, texts[rng.randrange(len(texts))], 3))
+    rng.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = collections.Counter((r["key"], r["class_id"]) for r in neardup.near_duplicates(table(spark, rows)).collect())
+    assert got == classes_by_force(rows)
+
+
 def test_op9_components(spark):
     rng = __import__("random").Random(9)
     edges = [(a, a + 1) for a in range(60)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)]
