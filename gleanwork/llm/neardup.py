@@ -3,7 +3,7 @@
 Equal word sequences are one text from the start. A text's shingles (five words; shorter texts are one shingle) weigh
 their count times 1 + IDF_SHARE * ln(N / df) / ln(N), df being the number of documents that have it: the spread is kept
 small, so that edits of much copied texts, rare by nature, don't outweigh what is copied. Texts with equal samples in all rows of a band meet
-in a bucket. In each bucket the text that sits in most buckets is compared with those that aren't yet linked to it, and
+in a bucket. In each bucket the text that meets most others is compared with those that aren't yet linked to it, and
 leaves; in later rounds more at a time, and only where a bucket still holds texts of several classes, until none does. So
 all texts that met are compared or linked, and a bucket of n copies of one text costs n comparisons and not n squared.
 Classes are the connected components of the links.
@@ -271,8 +271,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     texts = materialise(texts, "texts")
     met = signed.filter(F.size("bands") > 0).join(texts.select(F.col("text").alias("row")), "row", "left_semi")
     met = met.select(F.col("row").alias("text"), F.explode("bands").alias("bucket"))
-    shared = met.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    met = materialise(met.join(shared, "bucket", "left_semi"), "met")
+    shared = met.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    met = materialise(met.join(shared, "bucket"), "met")
     # Rounds work on little data many times over: their steps get as many tasks as the texts that met are worth.
     width = max(8, met.count() // MET_ROWS)
     met = materialise(met.coalesce(width), "met")
@@ -309,9 +309,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     asked = wanted.select("part", F.lit(0).cast("int").alias("tag"), "payload")
     vectors = materialise(at_parts([parts, answers.filter(F.col("tag") >= OFTEN), asked], n, vectors_of, "text long, blob binary", raw=True), "vectors")
 
-    label = met.groupBy("text").agg(F.count("*").alias("places")).withColumn("label", F.col("text"))
+    label = met.groupBy("text").agg(F.sum("n").alias("places")).withColumn("label", F.col("text"))
     label = materialise(label.coalesce(width), "alone")
-    tested, r = None, 0
+    met, tested, r = met.select("text", "bucket"), None, 0
     while True:
         here = met.join(label, "text").coalesce(width)
         if r:
