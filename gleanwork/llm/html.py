@@ -273,9 +273,9 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(url, pa.string()), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
 
-def host_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.02) -> tuple[DataFrame, DataFrame]:
+def host_templates(pages: DataFrame, min_pages: int = 5) -> tuple[DataFrame, DataFrame]:
     """(page_id, host, body, subtree) and (host, subtree) of those that at least min_pages pages of different main
-    text, and min_share of the host's, hold. Copies of one page count once. Counts are summed in part before they are
+    text hold, however many pages the host has. Copies of one page count once. Counts are summed in part before they are
     shuffled, so a host with a third of all pages takes no task for itself."""
     host, _ = split_url(F.col("url"))
     seen = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), "html").mapInArrow(
@@ -285,12 +285,11 @@ def host_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.02
     each = seen.select("page_id", "host", "body", F.explode("subtrees").alias("subtree"))
     per_text = each.groupBy("host", "subtree", "body").agg(F.lit(1).alias("one"))
     counts = per_text.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    sizes = seen.groupBy("host", "body").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("of"))
-    found = counts.join(sizes, "host").filter(F.col("n") >= min_share * F.col("of")).select("host", "subtree")
+    found = counts.select("host", "subtree")
     return each, found
 
 
-def main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.02) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = 5) -> DataFrame:
     """page_id, url, text for every row of `pages` (page_id, url, html).
 
     Element subtrees are hashed and counted per host; those of the host's template are deleted, then menus, forms,
@@ -299,7 +298,7 @@ def main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.02) ->
     quote stay. Null or empty html: empty text. Null url: the pages without a host are one host. Ties don't occur.
     Repeated rows: each gets its own result row. No rows: no result rows. Extra columns aren't read.
     """
-    each, templates = host_templates(pages, min_pages, min_share)
+    each, templates = host_templates(pages, min_pages)
     mine = each.join(templates, ["host", "subtree"], "left_semi").groupBy("page_id").agg(F.collect_set("subtree").alias("templates"))
     whole = pages.select(F.col("page_id").cast("long").alias("id"), "url", "html")
     return whole.join(mine, F.col("id").eqNullSafe(F.col("page_id")), "left").select("id", "url", "html", "templates").mapInArrow(

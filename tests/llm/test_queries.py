@@ -78,6 +78,12 @@ def test_op3(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_op3_template_on_few_pages_of_a_hot_host(spark):
+    rows = [(k, f"http://h.example/{k}", f"<body>{'<div><p>section notice</p></div>' if k < 6 else ''}<p>own text {k}</p></body>") for k in range(1200)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 1200 and all(r["text"] == f"own text {r['page_id']}" for r in got)
+
+
 def test_op4(spark):
     words = ["plain", "cat", "dog", "house"]
     rows = [(k, " ".join([words[k % 4]] * 5 + (["vexing"] if k % 3 == 0 else []))) for k in range(300)]
