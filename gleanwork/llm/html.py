@@ -18,7 +18,7 @@ TOKEN = re.compile(
     r"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?P<self>/)?>",
     re.S,
 )
-ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes plaintext".split())
 BLOCK = frozenset(
@@ -51,6 +51,10 @@ DROP_WORDS = re.compile(
     re.I,
 )
 DROP_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|respond|related|recommend\w*|sponsor\w*|ads?|advert\w*|promo\w*)(?:$|[\s_-])", re.I)
+#: What may stand beside such words in one class or id.
+BESIDE = frozenset("site page main global top bottom left right wrapper container box bar block area section list links inner outer item row unit".split())
+#: Only these go by class or id: headings and paragraphs have slugs of their text as ids.
+CONTAINERS = frozenset("div section ul ol dl table header details center".split())
 MAIN_ROLES = frozenset({"main", "article"})
 
 
@@ -118,22 +122,44 @@ def parse(source: str) -> Node:
     return root
 
 
-def dropped(node: Node) -> bool:
-    """Whether tag, role, class or id say that this isn't part of the article."""
-    if node.tag in DROP_TAGS:
+def holds(node: Node, tags: tuple = ("article", "main", "h1")) -> bool:
+    stack = [k for k in node.kids if isinstance(k, Node)]
+    while stack:
+        n = stack.pop()
+        if n.tag in tags or is_main(n):
+            return True
+        stack.extend(k for k in n.kids if isinstance(k, Node))
+    return False
+
+
+def named(value: str, words: re.Pattern) -> bool:
+    """Whether a whole class or id is made of `words` (and BESIDE): social-share, but not social-effects."""
+    for token in value.lower().split():
+        parts = [x for x in re.split(r"[_-]+", token) if x]
+        hits = [bool(words.search(x)) for x in parts]
+        if any(hits) and all(h or x in BESIDE for h, x in zip(hits, parts)):
+            return True
+    return False
+
+
+def dropped(node: Node, inside: bool = False) -> bool:
+    """Whether tag, role, class or id say that this isn't part of the article. inside: it stands in an article or main
+    element, where few class names count."""
+    if node.tag in DROP_TAGS and not (node.tag == "form" and holds(node)):
         return True
     if not node.attrs:
         return False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(node.attrs)}
-    if found.get("role", "").lower() in DROP_ROLES or found.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", node.attrs):
+    if "hidden" in found or found.get("role", "").lower() in DROP_ROLES - ({"form"} if node.tag == "form" else set()) or found.get("aria-hidden", "").lower() == "true":
         return True
     if re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
-    if node.tag in ("html", "body", "main"):
-        return False
     if node.tag == "article":
-        return bool(DROP_ARTICLE.search(found.get("class", "")))
-    return bool(DROP_WORDS.search(found.get("class", "")) or DROP_WORDS.search(found.get("id", "")))
+        return named(found.get("class", ""), DROP_ARTICLE)
+    if node.tag not in CONTAINERS:
+        return False
+    words = DROP_ARTICLE if inside else DROP_WORDS
+    return (named(found.get("class", ""), words) or named(found.get("id", ""), words)) and not holds(node)
 
 
 def is_main(node: Node) -> bool:
@@ -166,7 +192,7 @@ def subtree_hashes(root: Node) -> list[int]:
     return out
 
 
-def blocks(node: Node, gone: frozenset) -> list[str]:
+def blocks(node: Node, gone: frozenset, inside: bool = False) -> list[str]:
     """Texts of the blocks below `node`, in page order, white space made single; elements in `gone` or dropped() are left out."""
     out, buffer = [], []
 
@@ -185,7 +211,7 @@ def blocks(node: Node, gone: frozenset) -> list[str]:
         if not isinstance(item, Node):
             buffer.append(item)
             continue
-        if item is not node and (dropped(item) or (item.mark is not None and item.mark in gone)):
+        if item is not node and (dropped(item, inside) or (item.mark is not None and item.mark in gone)):
             buffer.append(" ")
             continue
         if item.tag == "header" and item is not node and not any(isinstance(k, Node) and k.tag in ("h1", "h2") for k in item.kids):
@@ -203,32 +229,19 @@ def blocks(node: Node, gone: frozenset) -> list[str]:
 
 
 def main_nodes(root: Node, gone: frozenset) -> list[Node]:
-    """The outermost article or main elements that aren't dropped, main's articles before main itself; else none."""
+    """The outermost article or main elements that aren't dropped: main with what stands around its articles."""
     found, stack = [], [root]
     while stack:
         node = stack.pop()
         if node is not root and (dropped(node) or (node.mark in gone)):
             continue
         if is_main(node):
-            inner = [] if node.tag == "article" else [k for k in _articles(node, gone)]
-            found.extend(inner or [node])
+            found.append(node)
             continue
         stack.extend(k for k in reversed(node.kids) if isinstance(k, Node))
     return found
 
 
-def _articles(node: Node, gone: frozenset):
-    stack = [k for k in reversed(node.kids) if isinstance(k, Node)]
-    while stack:
-        n = stack.pop()
-        if dropped(n) or n.mark in gone:
-            continue
-        if n.tag == "article":
-            yield n
-            continue
-        stack.extend(k for k in reversed(n.kids) if isinstance(k, Node))
-
-
 def extract(source: str, templates) -> str:
     """Main text of one page; `templates`: hashes (signed 64-bit) of its host's recurring subtrees."""
     if not source:
@@ -239,7 +252,7 @@ def extract(source: str, templates) -> str:
         subtree_hashes(root)
         gone = frozenset(t if t >= 0 else t + (1 << 64) for t in templates)
     found = main_nodes(root, gone)
-    text = [t for n in found for t in blocks(n, frozenset())]
+    text = [t for n in found for t in blocks(n, frozenset(), True)]
     if not text:
         text = blocks(root, gone)
     return "\n".join(text)
@@ -255,7 +268,7 @@ def _hashes(batches):
                 continue
             root = parse(source)
             found = set(subtree_hashes(root))
-            articles = "\n".join(t for n in main_nodes(root, frozenset()) for t in blocks(n, frozenset()))
+            articles = "\n".join(t for n in main_nodes(root, frozenset()) for t in blocks(n, frozenset(), True))
             body = zlib.crc32((articles or source).encode("utf-8", "surrogatepass"))
             out.append((key, host, body, list(found)))
         if out:

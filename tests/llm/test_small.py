@@ -54,6 +54,15 @@ def test_article_alone_is_left():
     assert html.extract("<p>" * 3000 + "<div>" * 3000 + "deep", None) == "deep"
 
 
+def test_article_text_that_looks_like_other_things_stays():
+    page = (
+        '<main><p>lede</p><article><div class="post-header"><h1 title="the hidden cost">Head</h1></div><h2 id="legal-history">law</h2>'
+        '<section id="social-effects"><p>effects</p></section><p hidden>gone</p><div class="comments">reader</div></article><p>later</p></main>'
+    )
+    assert html.extract(page, None) == "lede\nHead\nlaw\neffects\nlater"
+    assert html.extract("<body><form><input><main><p>text</p><form>mail</form></main></form></body>", None).startswith("text")
+
+
 def test_templates_go():
     root = html.parse("<body><div><p>shared line</p></div><div><p>own</p></div></body>")
     hashes = html.subtree_hashes(root)
