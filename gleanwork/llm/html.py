@@ -55,14 +55,16 @@ DROP_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|respond|relat
 BESIDE = frozenset("site page main global top bottom left right wrapper container box bar block area section list links inner outer item row unit".split())
 #: Only these go by class or id: headings and paragraphs have slugs of their text as ids.
 CONTAINERS = frozenset("div section ul ol dl table header details center".split())
+#: Inside articles, elements of these recur as a template's where they stand at the same place; passages that articles quote aren't such.
+BOXES = frozenset("div section ul ol dl table details center".split())
 MAIN_ROLES = frozenset({"main", "article"})
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "mark")
+    __slots__ = ("tag", "attrs", "kids", "mark", "places")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids, self.mark = tag, attrs, [], None
+        self.tag, self.attrs, self.kids, self.mark, self.places = tag, attrs, [], None, ()
 
 
 def parse(source: str) -> Node:
@@ -171,14 +173,17 @@ def is_main(node: Node) -> bool:
 def subtree_hashes(root: Node) -> list[int]:
     """Marks each element with a 64-bit hash of its subtree (tag, texts and children in order; white space at the
     edges aside) and returns the hashes of those that can be a template's: outside of article and main elements, and
-    not within an element that goes anyway (of that, its own hash only)."""
-    out, stack = [], [(root, False, False)]
+    not within an element that goes anyway (of that, its own hash only). Inside article and main elements those of
+    BOXES, hashed with their place among the element's children, from its start and from its end."""
+    out, stack = [], [(root, False, False, False, 0, 0)]
+    signed = lambda h: h if h < 1 << 63 else h - (1 << 64)
     while stack:
-        node, done, inside = stack.pop()
+        node, done, inside, lost, at, back = stack.pop()
         if not done:
-            stack.append((node, True, inside))
-            below = inside or is_main(node) or dropped(node)
-            stack.extend((k, False, below) for k in node.kids if isinstance(k, Node))
+            stack.append((node, True, inside, lost, at, back))
+            below, gone = inside or is_main(node), lost or dropped(node, inside)
+            kids = [k for k in node.kids if isinstance(k, Node)]
+            stack.extend((k, False, below, gone, i, len(kids) - i) for i, k in enumerate(kids))
             continue
         parts = [node.tag]
         for k in node.kids:
@@ -187,8 +192,12 @@ def subtree_hashes(root: Node) -> list[int]:
             elif k := k.strip():
                 parts.append(k)
         node.mark = xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
-        if not inside and node.tag not in ("#root", "html", "body", "br", "meta", "link", "head"):
-            out.append(node.mark if node.mark < 1 << 63 else node.mark - (1 << 64))
+        if inside:
+            if node.tag in BOXES and not lost:
+                node.places = tuple(xxhash.xxh3_64_intdigest(f"{node.mark:x} {p}") for p in (f"start {at}", f"end {back}"))
+                out.extend(map(signed, node.places))
+        elif not lost and node.tag not in ("#root", "html", "body", "br", "meta", "link", "head"):
+            out.append(signed(node.mark))
     return out
 
 
@@ -211,7 +220,7 @@ def blocks(node: Node, gone: frozenset, inside: bool = False) -> list[str]:
         if not isinstance(item, Node):
             buffer.append(item)
             continue
-        if item is not node and (dropped(item, inside) or (item.mark is not None and item.mark in gone)):
+        if item is not node and (dropped(item, inside) or (not gone.isdisjoint(item.places) if inside else item.mark is not None and item.mark in gone)):
             buffer.append(" ")
             continue
         if item.tag == "header" and item is not node and not any(isinstance(k, Node) and k.tag in ("h1", "h2") for k in item.kids):
@@ -252,7 +261,7 @@ def extract(source: str, templates) -> str:
         subtree_hashes(root)
         gone = frozenset(t if t >= 0 else t + (1 << 64) for t in templates)
     found = main_nodes(root, gone)
-    text = [t for n in found for t in blocks(n, frozenset(), True)]
+    text = [t for n in found for t in blocks(n, gone, True)]
     if not text:
         text = blocks(root, gone)
     return "\n".join(text)
@@ -307,8 +316,8 @@ def main_text(pages: DataFrame, min_pages: int = 5) -> DataFrame:
 
     Element subtrees are hashed and counted per host; those of the host's template are deleted, then menus, forms,
     notices and the like by tag, role, class or id; of the rest, the article or main elements if there are any with
-    text, else everything. Inside those elements repetition isn't a sign of a template, so passages that many articles
-    quote stay. Null or empty html: empty text. Null url: the pages without a host are one host. Ties don't occur.
+    text, else everything. Inside those elements only boxes (BOXES) that recur at the same place among their parent's
+    children are a template's, so passages that many articles quote stay. Null or empty html: empty text. Null url: the pages without a host are one host. Ties don't occur.
     Repeated rows: each gets its own result row. No rows: no result rows. Extra columns aren't read.
     """
     each, templates = host_templates(pages, min_pages)

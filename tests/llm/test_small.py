@@ -71,6 +71,14 @@ def test_templates_go():
     assert html.extract("<body><div><p>shared line</p></div><div><p>own</p></div></body>", shared) == "own"
 
 
+def test_boxes_of_articles_go_by_count_and_quoted_passages_stay():
+    pages = [f"<article><h1>t{k}</h1>{'<p>x</p>' * k}<p>own {k}</p><blockquote>quoted</blockquote><div>read our letter</div></article>" for k in range(6)]
+    counts = collections.Counter(h for p in pages for h in set(html.subtree_hashes(html.parse(p))))
+    templates = [h for h, n in counts.items() if n >= 5]
+    for k, p in enumerate(pages):
+        assert html.extract(p, templates).split("\n") == [f"t{k}", *["x"] * k, f"own {k}", "quoted"]
+
+
 # ---- 4 ----
 
 
