@@ -14,7 +14,9 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import zlib
 from array import array
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -28,7 +30,9 @@ SPACE = "▁"
 LITERAL = "\udfff"  # stands for a mark that the text itself has; no valid text holds it
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CACHE_WORDS, CACHE_PIECES = 1_000_000, 16_000_000
-_end = itemgetter(0)
+LOW = float("-inf")
+KEPT_CHARS = 4096  # of a lattice whose edges are kept between the two passes
+_ids = itemgetter(2)
 
 
 class Vocabulary:
@@ -51,23 +55,24 @@ class Vocabulary:
         # As unigram models do for unk: below every piece. Files give -1e9 to pieces that their own merges never make
         # (runs of spaces); here those count as much as a fallback, lest a text with one have no comparable score.
         self.fallback = min([s for _, s in pieces.values() if s > -1e8], default=0.0) - 10
+        self._raw: list[bytes] | None = None
         pieces = {p: (i, max(s, self.fallback)) for p, (i, s) in pieces.items()}
-        #: Every prefix of a piece; None unless it is one itself.
-        self.trie: dict[str, tuple[int, float] | None] = {}
-        for p in pieces:
-            for k in range(1, len(p)):
-                self.trie.setdefault(p[:k], None)
-        self.trie.update(pieces)
+        #: Of each piece: its length, score and ids.
+        self.edge = {p: (len(p), score, (i,)) for p, (i, score) in pieces.items()}
+        self.longest = max(map(len, pieces), default=1)
+        self.alone = {p for p in pieces if len(p) == 1}
+        self.lone: dict[str, tuple[int, float, tuple[int, ...]]] = {}
+        self.forth, self.reverse = (self._automaton(turn) for turn in (False, True)) if pieces else (None, None)
+        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+
+    def _automaton(self, turned: bool):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
-        for p, (i, score) in pieces.items():
-            self.automaton.add_word(p, (len(p), score, (i,)))
-        if pieces:
-            self.automaton.make_automaton()
-        else:
-            self.automaton = None
-        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        found = ahocorasick.Automaton()
+        for p, edge in self.edge.items():
+            found.add_word(p[::-1] if turned else p, edge)
+        found.make_automaton()
+        return found
 
     @classmethod
     def of(cls, scores: dict[str, float]) -> Vocabulary:
@@ -80,88 +85,127 @@ class Vocabulary:
         self._build({p: (i, s) for i, (p, s) in enumerate(scores.items())})
         return self
 
-    def edges(self, s: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each node, the edges that end there: start, ids, score. A character has a byte edge where no piece is it alone."""
-        n, trie = len(s), self.trie
-        into: list[list] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            alone = False
-            for j in range(i + 1, n + 1):
-                sub = s[i:j]
-                if sub not in trie:
-                    break
-                found = trie[sub]
-                if found is not None:
-                    into[j].append((i, (found[0],), found[1]))
-                    alone = alone or j == i + 1
-            if not alone:
-                into[i + 1].append((i, self.bytes_of(s[i]), self.fallback))
-        return into
+    def fall(self, c: str) -> tuple[int, float, tuple[int, ...]]:
+        """The edge of a character that is no piece."""
+        found = self.lone.get(c)
+        if found is None:
+            if len(self.lone) > 100_000:
+                self.lone.clear()
+            found = self.lone[c] = (1, self.fallback, self.bytes_of(c))
+        return found
+
+    def ending(self, s: str):
+        """(end - 1, edge) for all edges of the lattice, in order of their ends. A character has an edge of its bytes
+        where no piece is it alone."""
+        found = self.forth.iter(s) if self.forth else ()
+        if self.alone.issuperset(s):
+            return found
+        return heapq.merge(found, ((j, self.fall(c)) for j, c in enumerate(s) if c not in self.alone), key=itemgetter(0))
+
+    def starting(self, s: str):
+        """(end - 1, edge) for all edges, those that start last first."""
+        n = len(s) - 1
+        found = ((n - j + e[0] - 1, e) for j, e in self.reverse.iter(s[::-1])) if self.reverse else ()
+        if self.alone.issuperset(s):
+            return found
+        return heapq.merge(found, ((j, self.fall(s[j])) for j in range(n, -1, -1) if s[j] not in self.alone), key=lambda x: x[1][0] - x[0])
+
+    def into(self, s: str, node: int) -> list:
+        """The edges that end at a node, in order of their ids."""
+        edge = self.edge
+        found = [e for k in range(max(0, node - self.longest), node) if (e := edge.get(s[k:node])) is not None]
+        if s[node - 1] not in self.alone:
+            found.append(self.fall(s[node - 1]))
+        found.sort(key=_ids)
+        return found
+
+    def raw(self) -> list[bytes]:
+        """What each id stands for in a text."""
+        if self._raw is None:
+            v = range(len(self.piece))
+            self._raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent else self.piece[i].replace(SPACE, " ").encode() for i in v]
+        return self._raw
 
     def bytes_of(self, c: str) -> tuple[int, ...]:
         c = SPACE if c == LITERAL else " " if c == SPACE else c
         return tuple(self.byte[b] for b in c.encode("utf-8", "surrogatepass")) if self.byte else (self.unk,)
 
 
-def forward(into) -> list[float]:
-    best = [0.0] * len(into)
-    for j in range(1, len(into)):
-        best[j] = max(best[i] + score for i, _, score in into[j])
-    return best
+def forward(n: int, edges) -> tuple[list[float], list]:
+    """Best score from the start to each of n + 1 nodes, and the edge by which it is reached: of equals, that of the smaller ids."""
+    best = [LOW] * (n + 1)
+    best[0] = 0.0
+    back: list = [None] * (n + 1)
+    for j, edge in edges:
+        j += 1
+        score = best[j - edge[0]] + edge[1]
+        if score > best[j] or (score == best[j] and edge[2] < back[j][2]):
+            best[j], back[j] = score, edge
+    return best, back
 
 
 def n_best(s: str, vocabulary: Vocabulary, n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best segmentations of a lattice (all, if fewer): score and ids. Of equal scores, the one whose pieces, read
-    from the end, have the smaller ids comes first."""
-    into = vocabulary.edges(s)
-    best = forward(into)
-    heap: list = [(-best[-1], (), len(s), 0.0)]
-    out = []
-    while heap and len(out) < n:
-        _, path, node, done = heapq.heappop(heap)
+    from the end, have the smaller ids comes first.
+
+    Backward A-star search; the open paths stand in order of their pieces, read from the end, so that the first of the
+    best estimates is the next one by either rule. Estimates are exact: every open path has a segmentation of just that score,
+    and no two paths share one. So as many open paths are kept as segmentations are missing. Paths are chains
+    of places in two arrays, whose length is that of the paths that were followed.
+    """
+    best, _ = forward(len(s), vocabulary.ending(s))
+    parent, taken = array("q"), []
+    paths = [(best[-1], len(s), 0.0, -1, None)]
+    out: list[tuple[float, tuple[int, ...]]] = []
+    while paths and len(out) < n:
+        k = max(range(len(paths)), key=lambda i: paths[i][0]) if len(paths) > 1 else 0
+        _, node, done, before, edge = paths.pop(k)
+        if edge is not None:
+            parent.append(before)
+            taken.append(edge)
+            before = len(taken) - 1
         if node == 0:
-            out.append((done, tuple(i for ids in reversed(path) for i in ids)))
+            ids: list[int] = []
+            while before >= 0:
+                ids += taken[before][2]
+                before = parent[before]
+            out.append((done, tuple(ids)))
             continue
-        for i, ids, score in into[node]:
-            heapq.heappush(heap, (-(best[i] + score + done), (*path, ids), i, done + score))
+        # Within 1e-9 of the bar, so that sums taken in another order drop nothing.
+        bar = min(p[0] for p in paths) - 1e-9 if len(paths) >= n - len(out) else LOW
+        more = [(best[node - e[0]] + e[1] + done, node - e[0], done + e[1], before, e) for e in vocabulary.into(s, node)]
+        paths[k:k] = [p for p in more if p[0] >= bar]
+        if len(paths) > n - len(out):
+            keep = sorted(sorted(range(len(paths)), key=lambda i: -paths[i][0])[: n - len(out)])
+            paths = [paths[i] for i in keep]
     return out
 
 
 def best_and_gap(s: str, vocabulary: Vocabulary) -> tuple[float, float, tuple[int, ...]]:
     """Score and ids of the best segmentation, and how far the second best is below it (inf if there is none): any other
-    path has an edge off the best path, and the best path through an edge is known from both sides. The lattice is
-    that of Vocabulary.edges, found by an automaton in order of the edges' ends."""
-    n, low = len(s), float("-inf")
-    edges = list(vocabulary.automaton.iter(s)) if vocabulary.automaton else []
-    alone = {j for j, e in edges if e[0] == 1}
-    if len(alone) < n:
-        edges += [(j, (1, vocabulary.fallback, vocabulary.bytes_of(s[j]))) for j in range(n) if j not in alone]
-        edges.sort(key=_end)
-    best = [low] * (n + 1)
-    best[0] = 0.0
-    back: list = [None] * (n + 1)
-    for j, edge in edges:
-        j += 1
-        score = best[j - edge[0]] + edge[1]
-        if score > best[j] or (score == best[j] and edge[2] < back[j][2]):
-            best[j], back[j] = score, edge
-    on, ids, node = set(), (), n
+    path has an edge off the best path, and the best path through an edge is known from both sides. The edges of a long
+    lattice aren't kept, but found again by the automaton of the turned pieces."""
+    n = len(s)
+    kept = list(vocabulary.ending(s)) if n <= KEPT_CHARS else None
+    best, back = forward(n, kept or vocabulary.ending(s))
+    on, pieces, node = bytearray(n + 1), [], n
     while node:
         edge = back[node]
-        on.add((node - 1, edge[0]))
-        ids = edge[2] + ids
+        on[node] = 1
+        pieces.append(edge[2])
         node -= edge[0]
-    behind, other = [low] * (n + 1), low
+    behind, other = [LOW] * (n + 1), LOW
     behind[n] = 0.0
-    for j, (length, score, _) in reversed(edges):
-        through = score + behind[j + 1]
-        i = j + 1 - length
+    for j, edge in reversed(kept) if kept else vocabulary.starting(s):
+        j += 1
+        i = j - edge[0]
+        through = edge[1] + behind[j]
         if through > behind[i]:
             behind[i] = through
         through += best[i]
-        if through > other and (j, length) not in on:
+        if through > other and not (on[j] and back[j][0] == edge[0]):
             other = through
-    return best[n], best[n] - other, ids
+    return best[n], best[n] - other, tuple(chain.from_iterable(reversed(pieces)))
 
 
 class _Words:
@@ -189,6 +233,7 @@ class Encoder:
         self.n = n
         self.known = _Words()
         self.ranked: dict[str, list] = {}
+        self.held = 0  # ids in it
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         if len(self.known.at) >= CACHE_WORDS or len(self.known.flat) >= CACHE_PIECES:
@@ -241,9 +286,11 @@ class Encoder:
         for k in near:
             ranked = self.ranked.get(words[k])
             if ranked is None:
-                if len(self.ranked) > 20_000:
+                if len(self.ranked) > 20_000 or self.held > 4_000_000:
                     self.ranked.clear()
+                    self.held = 0
                 ranked = self.ranked[words[k]] = n_best(words[k], self.vocabulary, self.n)
+                self.held += sum(len(ids) for _, ids in ranked)
             options.append([(ranked[0][0] - s, i) for s, i in ranked[1:]])
         # A change is a tuple of (word, rank) in the order of words; each is reached once, from the one without its last.
         heap: list = [(0.0, ())]
@@ -266,14 +313,8 @@ class Encoder:
 
     def decode(self, ids) -> str:
         """The text of ids: exactly what was encoded."""
-        v, out = self.vocabulary, bytearray()
-        for i in ids:
-            i = int(i)
-            if i in v.byte_of:
-                out.append(v.byte_of[i])
-            elif i not in v.silent:
-                out += v.piece[i].replace(SPACE, " ").encode()
-        text = out.decode("utf-8", "replace")
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        text = b"".join(map(self.vocabulary.raw().__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -287,56 +328,102 @@ def apply_edits(ids: np.ndarray, edit) -> np.ndarray:
 
 
 PIECES = "ids array<int>, scores array<double>, edits array<array<struct<at:int,gone:int,ids:array<int>>>>"
+DECODED = "decoded_crc32 long, lossless boolean"
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def _encode(path: str, n: int):
+def encoder_of(path: str, n: int) -> Encoder:
+    """Kept by the worker's process from one task to the next."""
+    key = (path, n)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, n)
+    return _encoders[key]
+
+
+def _encode(path: str, n: int, decode: bool):
     def run(batches):
         import pyarrow as pa
 
-        # Kept by the worker's process from one task to the next.
-        encoder = _encoders.setdefault((path, n), Encoder(path, n))
+        encoder = encoder_of(path, n)
         kind = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("gone", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
-        def batch_of(rows, ids, scores, edits):
+        def batch_of(rows, ids, scores, edits, crc, same):
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
             edited = [[[{"at": a, "gone": g, "ids": x.tolist()} for a, g, x in e] for e in one] for one in edits]
+            more = [pa.array(crc, pa.int64()), pa.array(same, pa.bool_())] if decode else []
             return pa.RecordBatch.from_arrays(
-                [rows, pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(scores, pa.list_(pa.float64())), pa.array(edited, kind)],
-                ["row", "ids", "scores", "edits"],
+                [rows, pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(scores, pa.list_(pa.float64())), pa.array(edited, kind), *more],
+                ["row", "ids", "scores", "edits", "decoded_crc32", "lossless"][: 4 + len(more)],
             )
 
         for batch in batches:
-            rows, texts, start, held, got = batch.column(0), batch.column(1), 0, 0, ([], [], [])
+            rows, texts, start, held, got = batch.column(0), batch.column(1), 0, 0, tuple([] for _ in range(5))
             for k in range(len(texts)):
                 text = texts[k].as_py() or ""
                 for out, x in zip(got, encoder.encode(text)):
                     out.append(x)
+                if decode:
+                    back = encoder.decode(got[0][-1])
+                    got[3].append(zlib.crc32(back.encode("utf-8", "surrogatepass")))
+                    got[4].append(back == text)
                 held += len(text)
                 if held > 2_000_000:
                     yield batch_of(rows.slice(start, k + 1 - start), *got)
-                    start, held, got = k + 1, 0, ([], [], [])
+                    start, held, got = k + 1, 0, tuple([] for _ in range(5))
             if got[0]:
                 yield batch_of(rows.slice(start), *got)
 
     return run
 
 
-def encode_pieces(docs: DataFrame, path: str = MODEL, n: int = 4, keep: list[str] | None = None) -> DataFrame:
+def _decode(path: str):
+    def run(batches):
+        import pyarrow as pa
+
+        encoder = encoder_of(path, 1)
+        for batch in batches:
+            ids, edits = batch.column(1), batch.column(2)
+            for k in range(len(ids)):  # a row at a time: texts of any length
+                best = ids[k].as_py()
+                if best is None:
+                    texts = None
+                else:
+                    first = np.array([-1 if i is None else i for i in best], np.int32)
+                    every = [first, *(apply_edits(first, [(e["at"], e["gone"], e["ids"]) for e in one]) for one in edits[k].as_py() or [])]
+                    texts = [encoder.decode(x) for x in every]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([texts], pa.list_(pa.string()))], ["row", "texts"])
+
+    return run
+
+
+def decode_pieces(encoded: DataFrame, path: str = MODEL, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `encoded` (all but ids, scores and edits) as struct `row`, with texts: what ids stand for,
+    then what each of the others of the n best (by edits) stands for; all are the text that was encoded.
+
+    Null ids: null. No ids: an empty text. Null edits: none. An id outside of the vocabulary is an error. Repeated rows: each gets
+    its own. No rows: no result rows. Columns of any name pass through in `row`.
+    """
+    names = keep or [c for c in encoded.columns if c not in ("ids", "scores", "edits")]
+    plain = encoded.select(F.struct(*[encoded[c] for c in names]).alias("row"), encoded["ids"].alias("ids"), encoded["edits"].alias("edits"))
+    return plain.mapInArrow(_decode(path), plain.select("row").schema.add("texts", "array<string>"))
+
+
+def encode_pieces(docs: DataFrame, path: str = MODEL, n: int = 4, keep: list[str] | None = None, decode: bool = False) -> DataFrame:
     """The columns `keep` of `docs` (all) as struct `row`, with ids (the best segmentation of the whole text), scores (of
-    the n best) and edits (what each of the others changes).
+    the n best) and edits (what each of the others changes). decode: with the CRC-32 of the text that decoding the ids
+    gives, as UTF-8, and whether it is the one that was encoded.
 
     Null and empty texts: no ids, a score of 0, no others. Ties as Encoder.encode says. Equal texts: equal results.
     Repeated rows: each gets its own. No rows: no result rows. Columns of any name pass through in `row`. A very long
-    text is searched word by word; a word of any length takes memory in proportion. `path` is a parameter; the file must
+    text is searched word by word; a word of any length takes time and memory in proportion (about 300 bytes a character). `path` is a parameter; the file must
     be on every executor.
     """
     plain = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
     schema = plain.select("row").schema
-    for field in _fields(PIECES):
+    for field in _fields(f"{PIECES}, {DECODED}" if decode else PIECES):
         schema = schema.add(field)
-    return plain.mapInArrow(_encode(path, n), schema)
+    return plain.mapInArrow(_encode(path, n, decode), schema)
 
 
 def _fields(ddl: str):
@@ -346,8 +433,8 @@ def _fields(ddl: str):
 
 
 def op10_piece_nbest(spark, sf_dir):
-    found = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    return found.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").alias("n_pieces"), "ids", "scores", "edits")
+    found = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], decode=True)
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").alias("n_pieces"), "ids", "scores", "edits", "decoded_crc32", "lossless")
 
 
 def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -306,6 +306,15 @@ def test_op10(spark):
         text = r["row"]["text"] or ""
         assert e.decode(r["ids"]) == text and r["scores"] == sorted(r["scores"], reverse=True) and len(r["edits"]) == len(r["scores"]) - 1
     assert pieces.encode_pieces(table(spark, [])).count() == 0
+    back = pieces.decode_pieces(pieces.encode_pieces(table(spark))).collect()
+    assert len(back) == len(ROWS)
+    for r in back:
+        assert set(r["texts"]) == {r["row"]["row"]["text"] or ""}
+    odd = pieces.decode_pieces(spark.createDataFrame([(1, None, None), (2, [], None)], f"doc_id long, {pieces.PIECES.replace('scores array<double>, ', '')}"))
+    assert {r["row"]["doc_id"]: r["texts"] for r in odd.collect()} == {1: None, 2: [""]}
+    text = dict(spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect())
+    for r in queries.queries()["op10_piece_nbest"](spark, DIR).collect():
+        assert r["lossless"] and r["decoded_crc32"] == zlib.crc32((text[r["doc_id"]] or "").encode())
 
 
 def test_pipeline_stages(spark):

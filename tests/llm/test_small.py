@@ -217,10 +217,10 @@ V = pieces.Vocabulary.of({"▁": -3, "a": -1, "b": -2, "ab": -2, "▁a": -2, "ba
 
 
 def all_scores(s):
-    into = V.edges(s)
+    into = lambda j: [(i, V.edge[s[i:j]][1]) for i in range(j) if s[i:j] in V.edge] + [(j - 1, V.fallback)] * (s[j - 1] not in V.alone)
 
     def rec(j):
-        return [0.0] if j == 0 else [x + sc for i, _, sc in into[j] for x in rec(i)]
+        return [0.0] if j == 0 else [x + sc for i, sc in into(j) for x in rec(i)]
 
     return sorted(rec(len(s)), reverse=True)
 
@@ -250,6 +250,27 @@ def test_public_model_round_trip():
         assert e.decode(e.encode(t)[0]) == t
 
 
+def test_long_words_take_memory_and_time_in_proportion(monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(5)
+    for t in ("".join(rng.choice("abé") for _ in range(60)) for _ in range(20)):
+        kept = pieces.best_and_gap(t, V)
+        with monkeypatch.context() as m:
+            m.setattr(pieces, "KEPT_CHARS", 0)
+            assert pieces.best_and_gap(t, V) == kept
+        ranked = pieces.n_best(t, V, 3)
+        assert ranked[0] == (kept[0], kept[2]) and ranked[1][0] == kept[0] - kept[1]
+    e = pieces.Encoder()
+    words = ["=" * 50_000, "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(50_000))]
+    tracemalloc.start()
+    for t in words:
+        ids, scores, edits = e.encode(t)
+        assert len(scores) == 4 and all(e.decode(pieces.apply_edits(ids, x)) == t for x in edits) and e.decode(ids) == t
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+
+
 def test_one_lattice_where_pieces_cross_words():
     v = pieces.Vocabulary.of({"▁": -1, "a": -1, "a▁a": -0.5})
     assert not v.by_word
