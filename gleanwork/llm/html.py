@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 from .urls import split_url
 
+#: No two ways to match: time stays in proportion to the page. A quote counts only after =, and only if it is closed; a tag that is
+#: cut off ends with the page.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?P<self>/)?>",
+    r"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>[^>=]+|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)(?:>|\Z)",
     re.S,
 )
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -61,17 +63,26 @@ MAIN_ROLES = frozenset({"main", "article"})
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "mark", "places")
+    __slots__ = ("tag", "attrs", "kids", "mark", "places", "holds")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.kids, self.mark, self.places = tag, attrs, [], None, ()
+        self.holds = False  # an article, a main element or an h1
 
 
 def parse(source: str) -> Node:
-    """A tree of Nodes and strings (character references decoded). Any input gives a tree; nothing is recursive."""
+    """A tree of Nodes and strings (character references decoded). Any input gives a tree; nothing is recursive, and no
+    page takes more than time in proportion: what is open is counted by tag."""
     root = Node("#root")
     stack, at = [root], 0
+    open_: dict[str, int] = {}
     end = len(source)
+
+    def cut(k: int) -> None:
+        for n in stack[k:]:
+            open_[n.tag] -= 1
+        del stack[k:]
+
     while at < end:
         m = TOKEN.search(source, at)
         if m is None:
@@ -87,53 +98,49 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if m["close"]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if not open_.get(tag):
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in ("td", "th", "table", "article", "main", "section", "div", "nav", "aside", "footer", "header", "form") and tag not in BLOCK:
                     break  # an inline element doesn't end what stands around it
             continue
-        if tag in P_ENDERS:
+        if tag in P_ENDERS and open_.get("p"):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in BLOCK or stack[k].tag == "button":
                     break
-        if tag in ENDS:
+        if tag in ENDS and any(open_.get(t) for t in ENDS[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in STOPS[tag]:
                     break
                 if stack[k].tag in ENDS[tag]:
-                    del stack[k:]
+                    cut(k)
                     break
         node = Node(tag, m["attrs"] or "")
         stack[-1].kids.append(node)
+        if tag == "h1" or is_main(node):
+            for n in reversed(stack):
+                if n.holds:
+                    break
+                n.holds = True
         if tag in VOID:
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = close.end() if close else end
             continue
-        if m["self"] and tag not in BLOCK:
+        if node.attrs.endswith("/") and tag not in BLOCK:
             continue
         stack.append(node)
+        open_[tag] = open_.get(tag, 0) + 1
     return root
 
 
-def holds(node: Node, tags: tuple = ("article", "main", "h1")) -> bool:
-    stack = [k for k in node.kids if isinstance(k, Node)]
-    while stack:
-        n = stack.pop()
-        if n.tag in tags or is_main(n):
-            return True
-        stack.extend(k for k in n.kids if isinstance(k, Node))
-    return False
-
-
 def named(value: str, words: re.Pattern) -> bool:
     """Whether a whole class or id is made of `words` (and BESIDE): social-share, but not social-effects."""
     for token in value.lower().split():
@@ -147,7 +154,7 @@ def named(value: str, words: re.Pattern) -> bool:
 def dropped(node: Node, inside: bool = False) -> bool:
     """Whether tag, role, class or id say that this isn't part of the article. inside: it stands in an article or main
     element, where few class names count."""
-    if node.tag in DROP_TAGS and not (node.tag == "form" and holds(node)):
+    if node.tag in DROP_TAGS and not (node.tag == "form" and node.holds):
         return True
     if not node.attrs:
         return False
@@ -161,7 +168,7 @@ def dropped(node: Node, inside: bool = False) -> bool:
     if node.tag not in CONTAINERS:
         return False
     words = DROP_ARTICLE if inside else DROP_WORDS
-    return (named(found.get("class", ""), words) or named(found.get("id", ""), words)) and not holds(node)
+    return (named(found.get("class", ""), words) or named(found.get("id", ""), words)) and not node.holds
 
 
 def is_main(node: Node) -> bool:
@@ -318,12 +325,13 @@ def main_text(pages: DataFrame, min_pages: int = 5) -> DataFrame:
     notices and the like by tag, role, class or id; of the rest, the article or main elements if there are any with
     text, else everything. Inside those elements only boxes (BOXES) that recur at the same place among their parent's
     children are a template's, so passages that many articles quote stay. Null or empty html: empty text. Null url: the pages without a host are one host. Ties don't occur.
-    Repeated rows: each gets its own result row. No rows: no result rows. Extra columns aren't read.
+    Repeated rows: each gets its own result row; rows that share a page_id share what their host deletes. No rows: no result rows. Extra columns aren't read.
     """
     each, templates = host_templates(pages, min_pages)
-    mine = each.join(templates, ["host", "subtree"], "left_semi").groupBy("page_id").agg(F.collect_set("subtree").alias("templates"))
-    whole = pages.select(F.col("page_id").cast("long").alias("id"), "url", "html")
-    return whole.join(mine, F.col("id").eqNullSafe(F.col("page_id")), "left").select("id", "url", "html", "templates").mapInArrow(
+    mine = each.join(templates, ["host", "subtree"], "left_semi").groupBy("page_id", F.col("host").alias("of")).agg(F.collect_set("subtree").alias("templates"))
+    whole = pages.select(F.col("page_id").cast("long").alias("id"), "url", "html", split_url(F.col("url"))[0].alias("host"))
+    same = F.col("id").eqNullSafe(F.col("page_id")) & (F.col("host") == F.col("of"))
+    return whole.join(mine, same, "left").select("id", "url", "html", "templates").mapInArrow(
         _texts, "page_id long, url string, text string"
     )
 

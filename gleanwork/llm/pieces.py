@@ -406,7 +406,7 @@ def decode_pieces(encoded: DataFrame, path: str = MODEL, keep: list[str] | None
     """
     names = keep or [c for c in encoded.columns if c not in ("ids", "scores", "edits")]
     plain = encoded.select(F.struct(*[encoded[c] for c in names]).alias("row"), encoded["ids"].alias("ids"), encoded["edits"].alias("edits"))
-    return plain.mapInArrow(_decode(path), plain.select("row").schema.add("texts", "array<string>"))
+    return plain.mapInArrow(_decode(path), plain.select("row").schema.add(_fields("texts array<string>")[0]))
 
 
 def encode_pieces(docs: DataFrame, path: str = MODEL, n: int = 4, keep: list[str] | None = None, decode: bool = False) -> DataFrame:

@@ -84,6 +84,29 @@ def test_op3_template_on_few_pages_of_a_hot_host(spark):
     assert len(got) == 1200 and all(r["text"] == f"own text {r['page_id']}" for r in got)
 
 
+def test_op3_hosts_that_share_page_ids(spark):
+    rows = [(k, f"http://a.example/{k}", f"<body><div>line</div><p>own {k}</p></body>") for k in range(6)]
+    rows += [(0, "http://b.example/0", "<body><div>line</div><p>other</p></body>"), (None, "http://a.example/9", "<div>line</div>n"), (None, "http://b.example/9", "<div>line</div>n")]
+    got = {(r["page_id"], r["url"]): r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0, "http://b.example/0"] == "line\nother" and got[None, "http://b.example/9"] == "line\nn" and got[None, "http://a.example/9"] == "n"
+    assert all(got[k, f"http://a.example/{k}"] == f"own {k}" for k in range(6))
+
+
+def test_op3_counts_against_plain_counting(spark):
+    pages = spark.read.parquet(f"{DIR}/pages.parquet").limit(60).collect()
+    pages = [(r["page_id"], f"http://h{k % 3}/{k}", (r["html"] or "").replace("<footer>", f"<div class='x'>part {k % 4}</div><footer>")) for k, r in enumerate(pages)]
+    each, found = html.host_templates(spark.createDataFrame(pages, "page_id long, url string, html string"), 4)
+    plain = collections.defaultdict(set)
+    for _, url, source in pages:
+        root = html.parse(source)
+        hashes = set(html.subtree_hashes(root))
+        text = "\n".join(t for n in html.main_nodes(root, frozenset()) for t in html.blocks(n, frozenset(), True))
+        for h in hashes:
+            plain[url.split("/")[2], h].add(text or source)
+    want = {k for k, texts in plain.items() if len(texts) >= 4}
+    assert want and {(r["host"], r["subtree"]) for r in found.collect()} == want
+
+
 def test_op4(spark):
     words = ["plain", "cat", "dog", "house"]
     rows = [(k, " ".join([words[k % 4]] * 5 + (["vexing"] if k % 3 == 0 else []))) for k in range(300)]

@@ -63,6 +63,20 @@ def test_article_text_that_looks_like_other_things_stays():
     assert html.extract("<body><form><input><main><p>text</p><form>mail</form></main></form></body>", None).startswith("text")
 
 
+def test_broken_pages_take_time_in_proportion():
+    import time
+
+    start = time.perf_counter()
+    cut = "<p>kept</p><a " + " ".join(f'a{k}="v{k}"' for k in range(10_000)) + ' x="'
+    assert html.extract(cut, None) == "kept"
+    for p in ("<a ", '<a b="', "<a b='x", "<div>", "<li>", "<!--", "<![CDATA[", "</div", "<p><b>", '<div class="footer">', "<form>"):
+        html.extract(p * 20_000, None)
+    html.extract("<span>" * 20_000 + "</p></div>" * 20_000, None)
+    assert time.perf_counter() - start < 20
+    assert html.extract("<p title='a > b' x=\"it's\">one <b don't>two</b> a < b", None) == "one two a < b"
+    assert html.extract('<p>a<i class="x>b</i>c</p><p>d', None) == "abc\nd"
+
+
 def test_templates_go():
     root = html.parse("<body><div><p>shared line</p></div><div><p>own</p></div></body>")
     hashes = html.subtree_hashes(root)
