@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,29 +43,80 @@ def test_op1(spark):
 
 def test_op2(spark):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(7)] + [(None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int")
-    found, domains = mixing.mix(table(spark), labels)
+    found, fit = mixing.mix(table(spark), labels)
     rows = found.collect()
-    assert len(rows) == len(ROWS) and domains == ["q0t0", "q1t0"] and all(abs(sum(r["p"]) - 1) < 1e-9 and r["rate"] >= 0 for r in rows)
-    none, names = mixing.mix(table(spark), labels.limit(0))
-    assert names == ["all"] and {r["rate"] for r in none.collect()} == {1.0}
+    assert len(rows) == len(ROWS) and fit.domains == ["q0t0", "q1t0"] and all(abs(sum(r["p"]) - 1) < 1e-9 and r["rate"] >= 0 for r in rows)
+    none, fit = mixing.mix(table(spark), labels.limit(0))
+    assert fit.domains == ["all"] and {r["rate"] for r in none.collect()} == {1.0}
     assert mixing.mix(table(spark, []), labels)[0].count() == 0
+    twice = spark.createDataFrame([(4, 1, 1), (4, 0, 1), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    assert mixing.domain_labels(twice).collect() == [(4, "q0t1")]
+
+
+def test_posteriors_against_plain_naive_bayes(spark):
+    docs = [(k, " ".join(["cat", "dog", "fish", f"w{k % 3}"][: 1 + k % 4])) for k in range(12)] + [(12, None)]
+    labels = [(k, k % 2, k % 3 == 0 and 1 or 0) for k in range(8)]
+    seen = mixing.features(table(spark, docs), ["doc_id"])
+    domains, prior, like = mixing.naive_bayes(seen, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    bucket = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in ["cat", "dog", "fish", "w0", "w1", "w2"]], "w string").select("w", mixing.word_buckets(F.col("w"))[0].alias("b")).collect()}
+    of = {k: f"q{q}t{t}" for k, q, t in labels}
+    names = sorted(set(of.values()))
+    seen_in = {d: collections.Counter(bucket[w] for k, t in docs if of.get(k) == d for w in set((t or "").split())) for d in names}
+    assert domains == names
+    for r in mixing.posteriors(seen, domains, prior, like).collect():
+        words = (dict(docs)[r["row"]["doc_id"]] or "").split()
+        z = []
+        for d in names:
+            total = sum(seen_in[d].values()) + mixing.BUCKETS
+            z.append(math.log(sum(v == d for v in of.values()) / len(of)) + 20.0 * sum(math.log((seen_in[d][bucket[w]] + 1) / total) for w in words) / max(1, len(words)))
+        e = [math.exp(x - max(z)) for x in z]
+        assert r["p"] == pytest.approx([x / sum(e) for x in e], rel=1e-6)
+
+
+def plain_rates(tokens, p, target, ridge, least=0.0, most=math.inf, rounds=60_000):
+    """Projected gradient over documents, without momentum or bins."""
+    share = np.array(tokens, float) / sum(tokens)
+    p, rate = np.array(p), np.ones(len(tokens))
+    for _ in range(rounds):
+        slope = p @ ((rate * share) @ p - target) + ridge * (rate - 1)
+        rate = np.clip(rate - slope / 1.1, least, most)
+    return rate, float(((((rate * share) @ p) - target) ** 2).sum() + ridge * (share * (rate - 1) ** 2).sum())
 
 
 def test_rates_against_plain_projected_gradient(spark):
     rows = [(k, k % 7 + 1, [0.9, 0.1] if k % 5 else [0.2, 0.8]) for k in range(200)]
     df = spark.createDataFrame(rows, "at long, tokens long, p array<double>")
-    found, reached = mixing.fit_rates(df, [0.5, 0.5], tolerance=1e-5, rounds=300)
+    found, fit = mixing.fit_rates(df, [0.5, 0.5], ridge=1e-3)
     got = {r["at"]: r["rate"] for r in found.collect()}
-    total = sum(t for _, t, _ in rows)
-    share = [sum(got[a] * t * p[i] for a, t, p in rows) / total for i in (0, 1)]
-    assert share == pytest.approx([0.5, 0.5], abs=1e-3) and reached == pytest.approx(share, abs=1e-3)
-    rate = dict.fromkeys(got, 1.0)  # the same problem, one small step after the other
-    for _ in range(4000):
-        s = [sum(rate[a] * t * p[i] for a, t, p in rows) / total - 0.5 for i in (0, 1)]
-        rate = {a: max(0.0, rate[a] - 0.5 * (p[0] * s[0] + p[1] * s[1])) for a, t, p in rows}
-    assert all(abs(rate[a] - got[a]) < 0.02 for a in rate)
-    kept, _ = mixing.fit_rates(df, [0.5, 0.5], least=1.0, most=8.0)
-    assert all(1 <= r["rate"] <= 8 for r in kept.collect())
+    want, _ = plain_rates([t for _, t, _ in rows], [p for _, _, p in rows], [0.5, 0.5], 1e-3)
+    assert fit.converged and all(abs(want[a] - got[a]) < 1e-3 for a in got)
+    kept, fit = mixing.fit_rates(df, [0.5, 0.5], least=1.0, most=8.0)
+    assert all(1 <= r["rate"] <= 8 for r in kept.collect()) and fit.residual < 2e-3 and abs(fit.reached[0] - fit.reached[1]) < 2e-3
+    empty, fit = mixing.fit_rates(spark.createDataFrame([(1, 0, [0.5, 0.5])], "at long, tokens long, p array<double>"), [0.5, 0.5])
+    assert [r["rate"] for r in empty.collect()] == [1.0] and fit.converged
+
+
+@pytest.mark.parametrize("limits", [{}, {"least": 1.0, "most": mixing.MOST_COPIES}])
+def test_mixtures_of_the_tables_meet_feasible_targets(spark, limits):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    found, fit = mixing.mix(docs.select("doc_id", "text"), labels, keep=["doc_id"], **limits)
+    rows = found.select("tokens", "p", "rate").collect()
+    total = sum(r["tokens"] for r in rows)
+    reached = [sum(r["rate"] * r["tokens"] * r["p"][i] for r in rows) / total for i in range(len(fit.domains))]
+    assert reached == pytest.approx(fit.reached, abs=1e-9) and fit.converged
+    assert all(limits.get("least", 0) <= r["rate"] <= limits.get("most", 1e9) for r in rows)
+    natural = [sum(r["tokens"] * r["p"][i] for r in rows) / total for i in range(len(fit.domains))]
+    for d, aim, got, was in zip(fit.domains, fit.target, reached, natural):
+        if mixing.TARGETS[d] > 0:
+            assert abs(got - aim) < 2e-3
+        else:
+            assert got <= was * (1.1 if limits else 0.7)
+    # Documents one by one can't do better than bins by more than bins are coarse.
+    share = np.array([r["tokens"] for r in rows]) / total
+    mine = sum((x - y) ** 2 for x, y in zip(reached, fit.target)) + mixing.RIDGE * (share * (np.array([r["rate"] for r in rows]) - 1) ** 2).sum()
+    _, least = plain_rates([r["tokens"] for r in rows], [r["p"] for r in rows], fit.target, mixing.RIDGE, limits.get("least", 0.0), limits.get("most", math.inf), 20_000)
+    assert mine <= least * 1.3 + 1e-6
 
 
 def test_op3(spark):
