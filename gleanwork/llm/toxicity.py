@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 from .parts import release
 
 WORD = re.compile(r"[^\W_]+")
@@ -202,25 +202,31 @@ def _encode(batches):
     vocabulary = Vocabulary()
     for batch in batches:
         text, toxic, part, lot = (c.to_pylist() for c in batch.columns)
-        ids, lang = [], []
+        ids, lang, size = [], [], []
         for t in text:
             words = WORD.findall((t or "").lower())
+            size.append(len(words))
             ids.append(vocabulary.buckets(words).astype(np.uint16).tobytes())
             lang.append(guess_language(words))
-        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(part, pa.string()), pa.array(lang, pa.string()), pa.array(ids, pa.binary()), pa.array(lot, pa.int64())], ["toxic", "part", "lang", "ids", "lot"])
+        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(part, pa.string()), pa.array(lang, pa.string()), pa.array(ids, pa.binary()), pa.array(lot, pa.int64()), pa.array(size, pa.int64())], ["toxic", "part", "lang", "ids", "lot", "n"])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_words: int = 6_000_000) -> Model:
-    """A model fitted on the driver to a sample whose bounds are per_class rows and max_words words in all (rows past
-    that aren't used). Without both labels in the sample, scores are the classifier's prior."""
-    rows = training_rows(docs, labels, per_class).mapInArrow(_encode, "toxic int, part string, lang string, ids binary, lot long")
+    """A model fitted on the driver to a sample whose bounds are per_class rows and max_words words in all: of the rows
+    drawn, in order of their lots, as many as have max_words together. So the sample doesn't depend on how the tables are
+    partitioned. Without both labels in the sample, scores are the classifier's prior."""
+    rows = training_rows(docs, labels, per_class).mapInArrow(_encode, "toxic int, part string, lang string, ids binary, lot long, n long")
+    rows = materialise(rows, "sample")
+    words, last = 0, None
+    for lot, n in sorted(tuple(r) for r in rows.select("lot", "n").collect()):  # 3 * per_class pairs of numbers
+        words += n
+        if words > max_words:
+            break
+        last = lot
     sample: dict[str, list] = {"fit": [], "calibrate": []}
-    words = 0
-    for r in rows.toLocalIterator(prefetchPartitions=True):
-        ids = np.frombuffer(r["ids"], np.uint16).reshape(-1, PER_WORD)
-        words += len(ids)
-        if words <= max_words:
-            sample[r["part"]].append((r["toxic"], r["lang"], ids, r["lot"]))
+    if last is not None:
+        for r in rows.filter(F.col("lot") <= last).toLocalIterator(prefetchPartitions=True):
+            sample[r["part"]].append((r["toxic"], r["lang"], np.frombuffer(r["ids"], np.uint16).reshape(-1, PER_WORD), r["lot"]))
     model = Model()
     for rows in sample.values():
         rows.sort(key=lambda x: (x[3], x[2].tobytes()))

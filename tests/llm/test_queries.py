@@ -175,6 +175,19 @@ def test_op4(spark):
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
 
 
+def test_op4_held_out_accuracy_and_layout(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in queries.queries()["op4_toxicity_cnn"](spark, sf).collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["doc_id"] in got}
+    held = [d for d in truth if got[d]["held_out"]]
+    assert len(held) > 50 and all(r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
+    assert sum(got[d]["predicted"] == truth[d] for d in held) / len(held) > 0.97
+    words = docs.select("doc_id", "text").repartition(7)
+    again = {r["row"]["doc_id"]: r["score"] for r in toxicity.toxicity_scores(words, labels.repartition(3)).collect()}
+    assert again == {d: r["score"] for d, r in got.items()}
+
+
 def test_op5_base_scores(spark):
     got = queries.queries()["op5_pitman_yor"](spark, DIR).collect()
     texts = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()

@@ -116,6 +116,18 @@ def test_classifier_learns_a_planted_word():
     assert 0 <= m.score(v.buckets([]), "other") <= 1
 
 
+def test_convolution_and_pooling_against_loops():
+    m, v = toxicity.Model(seed=2), toxicity.Vocabulary()
+    words = [f"w{k % 7}" for k in range(40)]
+    x = m.E[v.buckets(words)].sum(axis=1)
+    x = np.concatenate([x, np.zeros((2, toxicity.DIM), np.float32)])
+    want = []
+    for w, W, c in zip(toxicity.WIDTHS, m.W, m.c):
+        for f in range(toxicity.FILTERS):
+            want.append(max(max(0.0, c[f] + sum(float(x[i + j] @ W[j][:, f]) for j in range(w))) for i in range(len(words))))
+    assert np.allclose(m.pooled(v.buckets(words)), want, atol=1e-4)
+
+
 def test_language_guess():
     assert toxicity.guess_language("the cat and of".split()) == "en" and toxicity.guess_language([]) == "other"
 
