@@ -208,22 +208,28 @@ def test_op5_base_scores(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_op5_probabilities_sum_to_one(spark):
-    """Every one-word continuation of a context, and an unknown word: last token's probabilities by difference of scores."""
+def test_op5_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
+    one = {r["key"]: r["score"] for r in hpylm.score_texts(docs.coalesce(1)).collect()}
+    eight = {r["key"]: r["score"] for r in hpylm.score_texts(docs.repartition(8)).collect()}
+    many = {r["key"]: r["score"] for r in hpylm.score_texts(docs.repartition(3), chars=20_000).collect()}
+    assert one == eight == many
+
+
+def test_op5_unknown_contexts_fall_back_to_the_parent(spark):
+    """After an unknown word comes any word by its unigram probability; those of all words and an unknown one sum to one."""
     rng = __import__("random").Random(4)
     vocabulary = ["w%d" % k for k in range(12)]
     train = [(i, " ".join(rng.choices(vocabulary, range(12, 0, -1), k=30))) for i in range(1, 400) if zlib.crc32(str(i).encode()) % 10]
     free = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 10 == 0]
-    probe = [(free[k], f"w0 {w}") for k, w in enumerate([*vocabulary, "unseen"])] + [(free[50], "w0")]
-    # A continuation's score holds P(w0|start) P(w|w0) P(end|w); the end is divided out by the text that ends in w after start.
-    alone = [(free[100 + k], w) for k, w in enumerate([*vocabulary, "unseen"])]
-    docs = spark.createDataFrame(train + probe + alone, "doc_id long, text string")
-    score = {r["key"]: r["score"] for r in hpylm.score_texts(docs).collect()}
-    first = {w: score[i] for i, w in alone}  # P(w|start) P(end|w)
-    starts = sum(10 ** (first[w]) for w in first)
-    assert 0 < starts < 1
-    p_end = 10 ** (score[free[50]])  # P(w0|start) P(end|w0)
-    assert p_end == pytest.approx(10 ** first["w0"])
+    probe = [t for w in [*vocabulary, "no"] for t in (f"no {w}", w)] + ["no", "", "no no no"]
+    docs = spark.createDataFrame(train + list(zip(free, probe)), "doc_id long, text string")
+    score = dict(zip(probe, map({r["key"]: r["score"] for r in hpylm.score_texts(docs).collect()}.get, free)))
+    unknown = 10 ** (score["no no no"] - score["no no"])  # P(no) of the unigram restaurant
+    # no w end: P(no|start) P(w) P(end|w); w end: P(w|start) P(end|w). P(w|start) = (own + back P(w)), back = P(no|start) / P(no).
+    ratio = {w: 10 ** (score[f"no {w}"] - score[w]) for w in vocabulary}  # P(no|start) P(w) / P(w|start)
+    assert all(0 < x < 1 for x in ratio.values()) and 0 < unknown < 0.1
+    assert score["no no"] - score["no"] == pytest.approx(math.log10(unknown), abs=1e-9)
 
 
 def test_op5_edges(spark):
@@ -239,7 +245,7 @@ def test_slices_of_a_hot_context_change_little(spark):
     docs = [(i, " ".join(w for _ in range(20) for w in ("hot", "w%d" % rng.randrange(60)))) for i in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     whole = {r["key"]: r["score"] for r in hpylm.score_texts(df.coalesce(1)).collect()}
-    cut = {r["key"]: r["score"] for r in hpylm.score_texts(df.coalesce(1), chars=6000).collect()}
+    cut = {r["key"]: r["score"] for r in hpylm.score_texts(df.coalesce(1), chars=6000, slice_tokens=900).collect()}
     assert all(abs(whole[i] - cut[i]) / abs(whole[i]) < 0.03 for i in whole)
 
 

@@ -141,33 +141,85 @@ def test_split_words_like_the_contract():
     assert [w.decode() for w in hpylm.split_words(text)] == want
 
 
-def test_seating_keeps_customers_and_bounds():
-    rng = np.random.default_rng(0)
-    count = np.array([0, 1, 2, 5, 40, 1000])
-    s = hpylm.Seating(count, np.array([0, 0, 0, 1, 1, 1]), 2, np.full(6, 0.05), np.ones(2), 0.7, 1.0, rng)
-    for _ in range(50):
-        s.sweep()
-        assert (np.bincount(s.owner, weights=s.size, minlength=4) == count[2:]).all() and (s.size > 0).all()
-        assert (s.tables <= count).all() and (s.tables[count > 0] >= 1).all()
-
-
-def test_gibbs_agrees_with_exact_enumeration():
-    """One restaurant, one word, three customers: the stationary law of the number of tables is known."""
-    d, theta, p, n = 0.6, 1.0, 0.3, 3
-    weight = collections.Counter()
-    for seating in [[3], [2, 1], [1, 1, 1]]:
-        ways = {1: 1, 2: 3, 3: 1}[len(seating)]
-        w = p ** len(seating) * np.prod([theta + d * k for k in range(len(seating))])
-        w *= np.prod([np.prod([j - d for j in range(1, s)]) for s in seating])
-        weight[len(seating)] += ways * w
-    want = {k: w / sum(weight.values()) for k, w in weight.items()}
-    # Many independent restaurants of the same kind.
+def stirling_logs(n, d):
+    """Logarithms of S(n, t), t = 0 to n, by the recurrence."""
+    row = np.array([-np.inf, 0.0])
+    for k in range(1, n):
+        with np.errstate(divide="ignore"):
+            stay = row + np.log(np.maximum(k - d * np.arange(k + 1), 0))
+        row = np.logaddexp(np.concatenate([[-np.inf], row]), np.concatenate([stay, [-np.inf]]))
+    return row
+
+
+def test_stirling_ratios():
+    for d in (0.5, 0.8):
+        s = hpylm.stirling(d)
+        for n in (2, 7, 100, 1024):
+            t = np.arange(1, n)
+            assert np.allclose(s.rows[n, 1:n], np.exp(np.diff(stirling_logs(n, d)[1:])), rtol=1e-9)
+        n = 6000
+        t = np.arange(1, n)
+        want = np.diff(stirling_logs(n, d)[1:])
+        got = np.log(s(np.full(n - 1, n), t))
+        assert np.abs(got - want)[: n - 20].max() < 0.015 and s(np.array([n]), np.array([n]))[0] == 0
+
+
+def test_tables_follow_their_exact_law():
+    """Against enumeration: customers few and many, dishes rare and frequent in the parent."""
     m = 20_000
-    s = hpylm.Seating(np.full(m, n), np.arange(m), m, np.full(m, p), np.ones(m), d, theta, np.random.default_rng(1))
-    for _ in range(60):
-        s.sweep()
-    got = np.bincount(s.tables.astype(int), minlength=4) / m
-    assert all(abs(got[k] - want[k]) < 0.015 for k in want)
+    for n, c, p, d in [(2, 1.0, 0.3, 0.6), (3, 5.0, 0.3, 0.8), (24, 30.0, 0.5, 0.8), (40, 3.0, 0.01, 0.8), (300, 400.0, 0.2, 0.75), (1500, 30.0, 0.05, 0.8), (3000, 9000.0, 0.3, 0.8)]:
+        t = np.arange(1, n + 1)
+        w = stirling_logs(n, d)[1:] + np.cumsum(np.log(np.concatenate([[1.0], (c + d * t[:-1]) * p])))
+        w = np.exp(w - w.max())
+        mean = (w * t).sum() / w.sum()
+        spread = math.sqrt((w * (t - mean) ** 2).sum() / w.sum())
+        law = hpylm.Law(np.full(m, n), d)
+        got = law.draw(np.full(m, c), np.full(m, p), hpylm.uniform(np.arange(m, dtype=np.uint64), 3))
+        assert got.min() >= 1 and got.max() <= n
+        assert abs(got.mean() - mean) < 5 * spread / math.sqrt(m) + 0.01 * mean and abs(got.std() - spread) < 0.05 * spread + 0.01
+        assert abs(hpylm.Law(np.array([n]), d).mean(np.array([c]), np.array([p]))[0] - mean) < 0.01 * mean
+
+
+def test_gibbs_over_dishes_against_enumeration():
+    """One restaurant with two words: the stationary law of both numbers of tables is known."""
+    d, theta, p, n = 0.6, 1.0, (0.3, 0.1), (3, 4)
+    s = [np.exp(stirling_logs(k, d)) for k in n]
+    joint = {(a, b): p[0] ** a * p[1] ** b * s[0][a] * s[1][b] * np.prod([theta + d * k for k in range(a + b)]) for a in range(1, 4) for b in range(1, 5)}
+    total = sum(joint.values())
+    m = 30_000
+    room = np.repeat(np.arange(m), 2)
+    seats = hpylm.Seating(np.tile(n, m), room, m, np.tile(p, m), np.ones(m), np.arange(2 * m, dtype=np.uint64), d, theta)
+    sums = np.zeros(2)
+    for k in range(30):
+        seats.sweep(k)
+        sums += seats.tables.reshape(-1, 2).mean(axis=0) / 20 if k >= 10 else 0
+    want = [sum(x[i] * w for x, w in joint.items()) / total for i in (0, 1)]
+    assert np.allclose(sums, want, rtol=0.04)
+
+
+def test_seating_bounds_and_predictions_sum_to_one():
+    rng = np.random.default_rng(0)
+    v = 400
+    count = np.concatenate([rng.integers(0, 30, 2 * v), rng.integers(0, 9, v)])
+    count[[3, v + 5]] = 5000, 200_000
+    room = np.repeat([0, 1, 2], v)
+    customers = rng.integers(0, 60, v)
+    words = np.arange(v, dtype=np.uint64) * np.uint64(977)
+    bins = hpylm.histogram(customers)
+    whole = hpylm.tables_of_words(*bins, 1 / (v + 1))
+    tables = hpylm.seat_words(words, customers, whole, float(v)) / hpylm.KEPT
+    assert abs(tables.sum() - whole) < 0.05 * whole
+    unigram = hpylm.predictive(customers, tables, tables.sum(), customers.sum(), 1 / (v + 1), hpylm.WORD_DISCOUNT)
+    unknown = hpylm.predictive(0, 0, tables.sum(), customers.sum(), 1 / (v + 1), hpylm.WORD_DISCOUNT)
+    assert abs(unigram.sum() + unknown - 1) < 1e-9
+    seats = hpylm.Seating(count, room, 3, np.tile(unigram, 3), np.ones(3), np.arange(3 * v, dtype=np.uint64), hpylm.DISCOUNT)
+    dish, rooms, last = seats.run()
+    assert (last <= count).all() and (last[count > 0] >= 1).all() and (last[count == 0] == 0).all()
+    for r in range(3):
+        of = room == r
+        p = hpylm.predictive(count[of], dish[of] / hpylm.KEPT, rooms[r] / hpylm.KEPT, count[of].sum(), unigram, hpylm.DISCOUNT)
+        rest = hpylm.predictive(0, 0, rooms[r] / hpylm.KEPT, count[of].sum(), unknown, hpylm.DISCOUNT)
+        assert (p > 0).all() and abs(p.sum() + rest - 1) < 1e-9
 
 
 # ---- 6 ----
