@@ -233,8 +233,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     Null texts are empty. Texts without words are one class: their word sequences are equal. Null keys are kept, and a
     class of null keys only has a null id. Rows that repeat are of one class. Very long texts are read whole; one that
-    exceeds `chars` is a part of its own. No rows: no result rows. Extra columns aren't read.
+    exceeds `chars` is a part of its own. Sampling knows shingles by 16 bits of their hash at a time: of ties, which only
+    texts of tens of thousands of shingles have, the lesser shingle is the sample. No rows: no result rows. Extra columns
+    aren't read.
     """
+    if chars // 64 >= 1 << DOC_BITS:
+        raise ValueError(f"parts of {chars} characters may hold more than {1 << DOC_BITS} documents")
     parts = make_parts(docs, split_words, key, text, chars)
     n = max(1, parts.count())
 

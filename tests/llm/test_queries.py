@@ -378,6 +378,53 @@ def test_op9_tree_of_edits_against_all_pairs(spark):
     assert got == classes_by_force(rows)
 
 
+def test_op9_on_the_tables_against_all_pairs(spark):
+    """The classes of all documents of sf0.01, and the recall of links by plain Jaccard similarity of shingles."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    texts, of = {}, {}
+    for r in docs:
+        of[r["doc_id"]] = texts.setdefault(tuple(neardup.split_words(r["text"] or "")), len(texts))
+    grams = [collections.Counter(w[i : i + 5] for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([w] if w else []) for w in texts]
+    copies = collections.Counter(of.values())
+    df = collections.Counter()
+    where = collections.defaultdict(list)
+    for k, g in enumerate(grams):
+        for x in g:
+            df[x] += copies[k]
+            where[x].append(k)
+    n = len(docs)
+    weigh = [{x: m * (1 + neardup.IDF_SHARE * math.log(n / df[x]) / math.log(n)) for x, m in g.items()} for g in grams]
+    up = list(range(len(grams)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    met = {(a, b) for ks in where.values() for i, a in enumerate(ks) for b in ks[:i]}
+    plain = []
+    for a, b in met:
+        common = sum(min(v, weigh[b].get(x, 0)) for x, v in weigh[a].items())
+        if common / (sum(weigh[a].values()) + sum(weigh[b].values()) - common) >= 0.8:
+            up[find(a)] = find(b)
+        if len(grams[a].keys() & grams[b].keys()) >= 0.8 * len(grams[a].keys() | grams[b].keys()):
+            plain.append((a, b))
+    assert plain
+    got = {r["doc_id"]: r["class_id"] for r in queries.queries()["op9_weighted_minhash"](spark, sf).collect()}
+    want = collections.defaultdict(list)
+    for d, k in of.items():
+        want[find(k)].append(d)
+    assert got == {d: min(ds) for ds in want.values() for d in ds}
+    class_of = {k: got[d] for d, k in of.items()}
+    assert sum(class_of[a] == class_of[b] for a, b in plain) >= 0.9 * len(plain)
+
+
+def test_op9_part_too_large(spark):
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(table(spark), chars=1 << 27)
+
+
 def test_op9_components(spark):
     rng = __import__("random").Random(9)
     edges = [(a, a + 1) for a in range(60)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)]
