@@ -88,21 +88,22 @@ def bm25_query_multiset(spark, sf_dir):
 
 
 def vectors(spark, sf_dir):
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("part_id"), F.col("embedding").alias("vec"))
+    key = F.col("vec_id")
+    return read(spark, sf_dir, "embeddings").select(key.alias("part_id"), key.alias("unit_id"), key.alias("row_no"), F.col("embedding").alias("vec"))
 
 
 def dense_ranked(spark, sf_dir, limit):
+    """Queries: all rows whose id is divisible by 20."""
     v = vectors(spark, sf_dir)
-    asked = v.filter("part_id < 5").select(F.concat(F.lit("q"), (F.col("part_id") + 1).cast("string")).alias("qid"), "vec")
-    scored = S.dense_scores(v, asked).withColumns({"unit_id": F.col("part_id"), "row_no": F.col("part_id")})
-    return S.rank_units(scored.withColumn("score", F.round("score", 5)), limit)
+    asked = v.filter("part_id % 20 = 0").select(F.concat(F.lit("q"), (F.col("part_id") + 1).cast("string")).alias("qid"), "vec")
+    return S.dense_ranked(v, asked, limit, digits=5)
 
 
 def dense_sql(limit: int) -> str:
     return f"""dense as (
   select * from (select 'q' || (q.vec_id + 1) as qid, v.vec_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 5) as score,
     row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 5) desc, v.vec_id) as rank
-    from embeddings q, embeddings v where q.vec_id < 5) where rank <= {limit})
+    from embeddings q, embeddings v where q.vec_id % 20 = 0) where rank <= {limit})
 """
 
 

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanwork.functions import ids
@@ -16,7 +16,9 @@ from gleanwork.functions.mail import body_of_message, is_ad_subject, is_forwarde
 from gleanwork.operators import search as S
 from gleanwork.operators import units as U
 from gleanwork.sources import files
-from gleanwork.sources.tables import IndexStore, check_failure_rate
+from gleanwork.sources.tables import IndexStore, check_failure_rate, read_or_none, remove
+
+SEP = "\u0000"  # in no path or name
 
 UNIT_COLUMNS = {
     "unit_id": "string", "unit_type": "string", "text": "string", "date": "string", "date_end": "string", "participants": "array<string>", "source_file": "string",
@@ -88,25 +90,33 @@ def blocks(pages: str, rows: str) -> Column:
 
 def attachment_units(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(units of attachments that can be read, (path, ordinal, filename, status) of all): what is left out is counted, not lost."""
-    every = files.attachment_rows(documents.filter("error is null"))
+    subject = F.coalesce(F.try_element_at("meta", F.lit("subject")), F.lit(""))
+    advert = F.col("file_type").isin("eml", "msg") & is_ad_subject(subject)  # goes with what is attached to it
+    every = files.attachment_rows(documents.filter("error is null").filter(~advert))
     parents = mail_units(documents).select(
         F.col("source_file").alias("path"), F.col("unit_id").alias("parent_unit_id"), F.col("subject").alias("parent_subject"), F.col("sender").alias("parent_sender"),
         F.col("recipients").alias("parent_recipients"), F.col("date").alias("parent_date"),
     )
-    key = F.concat_ws("!", "path", F.col("ordinal").cast("string"), "filename")
+    key = F.concat_ws(SEP, "path", F.col("ordinal").cast("string"), "filename")
     parsed = files.parse_files(every.filter("status = 'ok'").select(key.alias("path"), "content"))
-    pages = page_units(parsed, "attachment").withColumns({"__path": F.substring_index("source_file", "!", 1), "__n": F.split_part("source_file", F.lit("!"), F.lit(2)).cast("int")})
-    kept = [c for c in pages.columns if not c.startswith("parent_") and c not in ("unit_id", "filename")]
+    field = lambda n: F.split_part("source_file", F.lit(SEP), F.lit(n))
+    pages = page_units(parsed, "attachment").withColumns({"__path": field(1), "__n": field(2).cast("int")})
     suffix = F.concat(F.lit(":"), F.regexp_extract("unit_id", r"^doc:[0-9a-f]+:(.*)$", 1))
-    pages = pages.drop(*[c for c in pages.columns if c.startswith("parent_")])
-    out = pages.join(parents.withColumnRenamed("path", "__path"), "__path").select(
-        *kept, ids.attachment_id(parents["parent_unit_id"], F.col("__n"), suffix).alias("unit_id"),
-        F.split_part("source_file", F.lit("!"), F.lit(3)).alias("filename"), *[parents[c] for c in ("parent_unit_id", "parent_subject", "parent_sender", "parent_recipients", "parent_date")],
-    )
+    kept = [c for c in pages.columns if not c.startswith("parent_") and c not in ("unit_id", "filename", "source_file")]
+    pages = pages.select(*kept, field(3).alias("filename"), F.concat_ws("!", "__path", field(2), field(3)).alias("source_file"), suffix.alias("__suffix"))
+    # Of a file that is no mail (a mailbox's own list), an attachment has no parent: it stands alone, by an id of its own.
+    both = pages.join(parents.withColumnRenamed("path", "__path"), "__path", "left")
+    owner = F.coalesce("parent_unit_id", ids.document_id(F.col("__path"), F.concat(F.lit(":orphan"), F.col("__n").cast("string"))))
+    out = both.withColumn("unit_id", ids.attachment_id(owner, F.col("__n"), F.col("__suffix")))
     broken = parsed.filter("error is not null").select(F.col("path").alias("k"))
     status = F.when(F.col("k").isNotNull(), "error").otherwise(F.col("status"))
     counted = every.withColumn("key", key).join(broken, F.col("key") == F.col("k"), "left").select("path", "ordinal", "filename", status.alias("status"))
-    return conform(out.withColumn("parent_kind", F.lit("email"))), counted
+    return conform(out.withColumn("parent_kind", F.when(F.col("parent_unit_id").isNotNull(), "email"))), counted
+
+
+def orphans(attached: DataFrame, units: DataFrame) -> DataFrame:
+    """Units of attachments whose parent isn't among `units`."""
+    return attached.join(units.select(F.col("unit_id").alias("parent_unit_id")), "parent_unit_id", "left_anti")
 
 
 def finish(units: DataFrame, max_tokens: int = U.PART_TOKENS) -> DataFrame:
@@ -116,9 +126,25 @@ def finish(units: DataFrame, max_tokens: int = U.PART_TOKENS) -> DataFrame:
     header = F.when(F.col("unit_type") == "email", U.email_header()).when(F.col("unit_type") == "chat", U.chat_header())
     header = header.when(F.col("unit_type") == "attachment", U.attachment_header()).otherwise(U.document_header())
     told = told.withColumns({"header": header, "lang": F.col("l.lang"), "lang_mixed": F.col("l.mixed"), "lang_second": F.col("l.second"), "chars_after": F.length("text").cast("bigint")})
-    parts = U.split_units(told, max_tokens).withColumnRenamed("text", "part_text")
-    both = told.drop("l").join(parts, "unit_id").withColumn("text", F.col("part_text")).drop("part_text")
-    return both.withColumn("content", U.full_text(F.col("header"), F.col("text")))
+    parts = U.split_units(told.drop("l"), max_tokens)
+    return parts.withColumn("content", U.full_text(F.col("header"), F.col("text")))
+
+
+def chat_units(messages: DataFrame, source_file: str = "", gap_minutes: float = U.GAP_MINUTES) -> DataFrame:
+    """Sessions of a room as units. messages: folder, topic, ts, sender, body, and n to order equal times by."""
+    rooms = messages.withColumn("room", ids.room_key(F.col("folder"), F.col("topic")))
+    s = U.session_units(rooms, gap_minutes)
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    return conform(s.select(
+        "unit_id", F.lit("chat").alias("unit_type"), "text", iso("start").alias("date"), iso("end").alias("date_end"), "participants", F.lit(source_file).alias("source_file"),
+        "room", F.array(F.lit(source_file)).alias("folder_paths"), F.length("text").cast("bigint").alias("chars_before"), F.col("unit_id").alias("ord"),
+    ))
+
+
+def numbered(parts: DataFrame) -> DataFrame:
+    """`parts` in order of unit and part number, with row_no, which ascends in that order (with gaps). Parts are dealt by
+    ranges, so no task has all."""
+    return parts.repartitionByRange("unit_id", "part_no").sortWithinPartitions("unit_id", "part_no").withColumn("row_no", F.monotonically_increasing_id())
 
 
 # ---- embedding ----
@@ -172,10 +198,30 @@ def embed_parts(inputs: DataFrame, embedder, batch: int = 64) -> DataFrame:
     return inputs.select("part_id", "input_hash", "content").mapInPandas(run, VECTORS)
 
 
+def embed_all(spark: SparkSession, folder: str, inputs: DataFrame, embedder, slices: int = 4) -> DataFrame:
+    """part_id, input_hash, vec, failed of all `inputs`, kept in a table of `folder` as they are made, a slice at a time. A run
+    that follows a crash embeds only what the table lacks; what failed is tried again."""
+    done = lambda: read_or_none(spark, folder)
+    for k in range(slices):
+        todo = inputs.filter(F.pmod(F.xxhash64("part_id", "input_hash"), F.lit(slices)) == k)
+        had = done()
+        if had is not None:
+            had = had.filter((F.col("model") == embedder.name) & ~F.col("failed"))
+            todo = todo.join(had.select("part_id", "input_hash"), ["part_id", "input_hash"], "left_anti")
+        embed_parts(todo, embedder).withColumn("model", F.lit(embedder.name)).write.mode("append").parquet(folder)
+    every = spark.read.parquet(folder).filter(F.col("model") == embedder.name).join(inputs.select("part_id", "input_hash").distinct(), ["part_id", "input_hash"], "left_semi")
+    return every.groupBy("part_id", "input_hash").agg(F.min_by("vec", "failed").alias("vec"), F.min("failed").alias("failed"))
+
+
 def index_parts(spark: SparkSession, store: IndexStore, case: str, parts: DataFrame, embedder=None) -> str:
     """Writes an index of `parts` (see finish) and gives its version. Vectors of the version before are used again where
-    part and input are the same; parts whose embedding failed are left out of all tables."""
+    part and input are the same; parts whose embedding failed are left out of all tables. Other profiles of the version before
+    are carried over if they have a vector for every part. The rate of failures is checked after publishing: what could be
+    embedded can be searched, and the caller knows."""
     embedder = embedder or FakeEmbedder()
+    made = f"{store.root}/{case}/made-{time.time_ns()}"
+    parts.withColumn("tokens", X.tokenize("content")).write.parquet(made)  # texts are split, told and tokenized once
+    parts = spark.read.parquet(made)
     inputs = parts.withColumn("input_hash", S.input_hash(F.col("content")))
     before = store.latest(case)
     known = None
@@ -185,36 +231,103 @@ def index_parts(spark: SparkSession, store: IndexStore, case: str, parts: DataFr
         todo = inputs.join(inputs_left, ["part_id", "input_hash"], "left_semi")
     else:
         todo = inputs
-    stage = f"{store.root}/{case}/staging-{time.time_ns()}"
-    embed_parts(todo, embedder).write.parquet(stage)  # each input is embedded once, whatever reads it later
-    new = spark.read.parquet(stage)
+    stage = f"{store.root}/{case}/embedded"
+    new = embed_all(spark, stage, todo, embedder)
     counts = {r["failed"]: r["n"] for r in new.groupBy("failed").agg(F.count("*").alias("n")).collect()}
     vectors = new.filter("not failed").select("part_id", "input_hash", "vec")
     if known is not None:
         vectors = vectors.unionByName(known.select("part_id", "input_hash", "vec"))
-    ready = parts.join(vectors.select("part_id"), "part_id", "left_semi").withColumn("tokens", X.tokenize("content"))
-    postings = ready.select("part_id", F.explode("tokens").alias("term")).groupBy("term", "part_id").agg(F.count("*").alias("tf"))
-    failed = new.filter("failed").select("part_id", "input_hash")
-    version = store.write(case, {"parts": ready, "postings": postings, "vectors": vectors, "failed": failed}, embedder.name, embedder.dim)
+    ready = numbered(parts.join(vectors.select("part_id"), "part_id", "left_semi"))
+    lexical = S.lexical_index(ready)
+    tables = {
+        "parts": ready, "vectors": vectors, "failed": new.filter("failed").select("part_id", "input_hash"), "terms": lexical["terms"],
+        # In order of terms, so that a query's terms are few row groups; a term that all parts have is several ranges.
+        "postings": lexical["postings"].repartitionByRange("term", "part_id").sortWithinPartitions("term", "part_id"),
+    }
+    profiles = {} if before is None or not before["tables"] else store.profiles(case)
+    version = store.write(case, tables, embedder.name, embedder.dim)
+    for name, at in profiles.items():
+        carry_profile(spark, store, case, name, at)
+    for folder in (stage, made):
+        remove(spark, folder)
     check_failure_rate(counts.get(False, 0), counts.get(True, 0))
     return version
 
 
-def index_files(spark: SparkSession, roots: list[str], store: IndexStore, case: str, embedder=None) -> str:
-    documents = files.parse_files(files.discover(spark, roots)).cache()
+def carry_profile(spark: SparkSession, store: IndexStore, case: str, name: str, at: str) -> bool:
+    """Moves a profile's vectors to the newest version, if every part has one; else the profile is dropped."""
+    parts = store.load(case)["parts"].select("part_id", S.input_hash(F.col("content")).alias("input_hash"))
+    kept = spark.read.parquet(at).join(parts, ["part_id", "input_hash"], "left_semi")
+    if not parts.join(kept, ["part_id", "input_hash"], "left_anti").isEmpty():
+        return False
+    store.write_profile(case, name, kept)
+    return True
+
+
+def build_profile(spark: SparkSession, store: IndexStore, case: str, name: str, embedder) -> None:
+    """Adds or replaces one profile: vectors of another embedder for all parts. A part that fails is an error, and the profile
+    stays as it was."""
+    parts = store.load(case)["parts"].withColumn("input_hash", S.input_hash(F.col("content")))
+    stage = f"{store.root}/{case}/embedded-{name}"
+    made = embed_all(spark, stage, parts, embedder)
+    if not made.filter("failed").isEmpty():
+        raise RuntimeError(f"profile {name}: some parts could not be embedded")
+    store.write_profile(case, name, made.select("part_id", "input_hash", "vec"))
+    remove(spark, stage)
+
+
+def index_files(spark: SparkSession, roots: list[str], store: IndexStore, case: str, embedder=None, messages: DataFrame | None = None) -> str:
+    """Files below `roots` and chat `messages` (see chat_units) to an index. Parsed documents are written, not cached: an
+    executor that is lost costs no parsing again."""
+    folder = f"{store.root}/{case}/parsed-{time.time_ns()}"
+    files.parse_files(files.discover(spark, roots)).write.parquet(folder)
+    documents = spark.read.parquet(folder)
     try:
         attached, _ = attachment_units(documents)
         units = mail_units(documents).unionByName(page_units(documents)).unionByName(attached)
+        if messages is not None:
+            units = units.unionByName(chat_units(messages))
         return index_parts(spark, store, case, finish(units), embedder)
     finally:
-        documents.unpersist()  # else the same folder, read again, would be what it was
+        remove(spark, folder)
+
+
+# ---- questions ----
+#: Dimensions of known embedding models, by name.
+KNOWN_DIMENSIONS = {
+    "qwen3-embedding:0.6b": 1024, "qwen3-embedding:4b": 2560, "qwen3-embedding:8b": 4096, "nomic-embed-text": 768, "bge-m3": 1024,
+    "mxbai-embed-large": 1024, "all-minilm": 384, "snowflake-arctic-embed": 1024,
+}
+QUERY_TASK = "Given a search query, retrieve relevant passages that answer the query"
+
+
+def known_dimension(model: str) -> int | None:
+    """By the longest known name that the model's name contains; None for others."""
+    name = model.lower()
+    return max(((len(k), d) for k, d in KNOWN_DIMENSIONS.items() if k in name), default=(0, None))[1]
+
+
+def embedded_query(query: str, model: str, task: str = QUERY_TASK) -> str:
+    """What is embedded for a question: models of one family want an instruction before it; documents never have one."""
+    name = model.lower().replace("_", "-")
+    return f"Instruct: {task}\nQuery:{query}" if "qwen3-embedding" in name else query
 
 
 def query_frame(spark: SparkSession, questions: dict[str, str], embedder=None) -> DataFrame:
-    """qid, tokens, vec of questions: the same tokenizer and embedder as the index."""
+    """qid, text, tokens, vec of questions: the same tokenizer and embedder as the index."""
     embedder = embedder or FakeEmbedder()
-    rows = [(k, X.tokenize_text(t), embedder([t])[0]) for k, t in questions.items()]
-    return spark.createDataFrame(rows, "qid string, tokens array<string>, vec array<double>")
+    rows = [(k, t, X.tokenize_text(t), list(map(float, embedder([embedded_query(t, embedder.name)])[0]))) for k, t in questions.items()]
+    return spark.createDataFrame(rows, "qid string, text string, tokens array<string>, vec array<double>")
+
+
+def top_overlap(a: DataFrame, b: DataFrame, queries_a: DataFrame, queries_b: DataFrame, k: int = 5) -> DataFrame:
+    """qid, overlap: the share of its first k parts that two embedders have in common. a, b: part_id, vec; queries: qid, vec."""
+    def top(vectors, queries, name):
+        rows = vectors.select("part_id", F.col("part_id").alias("unit_id"), F.dense_rank().over(Window.orderBy("part_id")).alias("row_no"), "vec")
+        return S.dense_ranked(rows, queries, k).groupBy("qid").agg(F.collect_set("part_id").alias(name))
+
+    both = top(a, queries_a, "a").join(top(b, queries_b, "b"), "qid")
+    return both.select("qid", (F.size(F.array_intersect("a", "b")) / F.lit(k)).alias("overlap"))
 
 
 def embedding_parity(a: DataFrame, b: DataFrame, least: float = 0.99) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanwork.operators.search import RetrievalConfig, apply_filters, bm25_scores, dense_scores, fuse, overlap_score, rank_units, rerank_head
+from gleanwork.operators.search import (
+    RetrievalConfig, apply_filters, bm25_scores, dense_ranked, fuse, least_rerank_score, overlap_score, rank_units, rerank_head, rerank_scores, score_postings,
+)
 
 # ---- fixed values ----
 CITATION = r"\[출처\s*(\d+)\]"
@@ -14,34 +16,52 @@ LABELS = {"email": "이메일", "teams_chat": "Teams 채팅", "chat": "Teams 채
 # ---- end of fixed values ----
 
 
-def retrieve(queries: DataFrame, parts: DataFrame, config: RetrievalConfig | None = None, filters: dict | None = None) -> DataFrame:
-    """qid, unit_id, rank, score, part_id, stage_ranks for all queries in one job.
+def retrieve(
+    queries: DataFrame, parts: DataFrame, config: RetrievalConfig | None = None, filters: dict | None = None, index: dict | None = None, reranker=None
+) -> DataFrame:
+    """qid, unit_id, rank, score, part_id, stage_ranks, reranked for all queries in one job.
 
-    queries: qid, tokens and, for dense retrieval, vec. parts: part_id, unit_id, row_no, tokens, vec and what filters name.
-    Statistics come from all parts; filters choose among the candidates.
+    queries: qid, tokens and, for dense retrieval, vec; with a reranker, text. parts: part_id, unit_id, row_no, what filters
+    name and, without an index, tokens and vec. index: the stored postings, terms, vectors and n_parts (see open_index), so that
+    no text is tokenized again. Statistics come from all parts; filters choose among the candidates.
+    reranker: scores pairs of texts (see operators.search.rerank_scores); without one, the share of the query's tokens counts.
     """
     config = config or RetrievalConfig()
     allowed = (apply_filters(parts, filters) if filters else parts).select("part_id", "unit_id", "row_no")
     single = config.use_bm25 != config.use_dense
     rankings = {}
     if config.use_bm25:
-        scored = bm25_scores(parts.select("part_id", "tokens"), queries).join(allowed, "part_id")
-        rankings["bm25"] = rank_units(scored, config.depth if single else config.k_bm25, positive_only=True)
+        scored = score_postings(index, queries, index["n_parts"]) if index else bm25_scores(parts.select("part_id", "tokens"), queries)
+        rankings["bm25"] = rank_units(scored.join(allowed, "part_id"), config.depth if single else config.k_bm25, positive_only=True)
     if config.use_dense:
-        scored = dense_scores(parts.select("part_id", "vec"), queries).join(allowed, "part_id")
-        rankings["dense"] = rank_units(scored, config.depth if single else config.k_dense)
+        vectors = (index["vectors"] if index else parts).select("part_id", "vec").join(allowed, "part_id")
+        rankings["dense"] = dense_ranked(vectors, queries.select("qid", "vec"), config.depth if single else config.k_dense)
     if single:
         (name, only), = rankings.items()
         ranked = only.select("qid", "unit_id", "rank", "score", "part_id", F.create_map(F.lit(name), F.col("rank")).alias("stage_ranks"))
     else:
         ranked = fuse(rankings, config.rrf_k)
-    ranked = ranked.filter(F.col("rank") <= config.depth)
+    ranked = ranked.filter(F.col("rank") <= config.depth).withColumn("reranked", F.lit(False))
     if config.rerank:
         head = ranked.filter(F.col("rank") <= config.rerank_candidates).select("qid", "unit_id", "part_id")
-        scores = head.join(parts.select("part_id", "tokens"), "part_id").join(queries.select("qid", F.col("tokens").alias("q")), "qid")
-        scores = scores.select("qid", "unit_id", overlap_score(F.col("q"), F.col("tokens")).alias("rerank"))
-        ranked = rerank_head(ranked, scores, config.rerank_candidates)
-    return ranked.select("qid", "unit_id", "rank", "score", "part_id", "stage_ranks")
+        if reranker is not None:
+            pairs = head.join(parts.select("part_id", F.col("content").alias("text")), "part_id").join(queries.select("qid", F.col("text").alias("query")), "qid")
+            scores = rerank_scores(pairs, reranker).select("qid", "unit_id", "rerank")
+        else:
+            tokens = index["parts"] if index else parts
+            pairs = head.join(tokens.select("part_id", "tokens"), "part_id").join(queries.select("qid", F.col("tokens").alias("q")), "qid")
+            scores = pairs.select("qid", "unit_id", overlap_score(F.col("q"), F.col("tokens")).alias("rerank"))
+        ranked = rerank_head(ranked.withColumn("reranked", F.col("rank") <= config.rerank_candidates), scores, config.rerank_candidates)
+        ranked = least_rerank_score(ranked, config.rerank_min_score)
+    return ranked.select("qid", "unit_id", "rank", "score", "part_id", "stage_ranks", "reranked")
+
+
+def open_index(store, case: str, embed_model: str | None = None, profile: str | None = None) -> dict:
+    """The tables of a case's index and n_parts, as retrieve() takes them. profile: the vectors of another embedding."""
+    tables = store.load(case, embed_model)
+    if profile is not None:
+        tables["vectors"] = store.load_profile(case, profile)
+    return {**tables, "n_parts": tables["parts"].select("part_id").count()}
 
 
 def sources(hits: DataFrame, parts: DataFrame, limit: int = 5, least_length: int = 20) -> DataFrame:

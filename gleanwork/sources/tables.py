@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INDEX_SCHEMA, TOKENIZER_VERSION = "gleanwork-index-1", "script-1"
@@ -56,6 +56,23 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table, or None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER" in str(e):
+            return None
+        raise
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class IndexStore:
     """Versioned folders of Parquet tables and a table of pointers. A version appears when its pointer does: readers see
     the old one or the new one, and a job that dies in between leaves the old one in place."""
@@ -64,12 +81,7 @@ class IndexStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _pointers(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.root}/pointers")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER" in str(e):
-                return None
-            raise
+        return read_or_none(self.spark, f"{self.root}/pointers")
 
     def write(self, case: str, tables: dict[str, DataFrame], embed_model: str = "", embed_dim: int = 0) -> str:
         version = f"{time.time_ns():020d}"
@@ -100,12 +112,91 @@ class IndexStore:
         """A version without tables."""
         self.write(case, {})
 
+    def clean(self, case: str, keep: int = 2) -> None:
+        """Deletes the tables of all but the newest `keep` versions. Readers of older ones fail: let them end first."""
+        found = self._pointers()
+        old = [] if found is None else found.filter(F.col("case") == case).orderBy(F.desc("version")).select("version").collect()[keep:]
+        for r in old:  # one for each time that a case was indexed
+            remove(self.spark, f"{self.root}/{case}/{r['version']}")
+
+    # Profiles: vectors of other embeddings, in folders of a version. The newest of a name counts.
+    def _profile_table(self) -> DataFrame | None:
+        return read_or_none(self.spark, f"{self.root}/profiles")
+
+    def profiles(self, case: str) -> dict[str, str]:
+        """Names and folders of the profiles of the case's newest version."""
+        at, found = self.latest(case), self._profile_table()
+        if at is None or found is None:
+            return {}
+        mine = found.filter((F.col("case") == case) & (F.col("version") == at["version"])).groupBy("name").agg(F.max("path").alias("path"))
+        return {r["name"]: r["path"] for r in mine.collect()}
+
+    def write_profile(self, case: str, name: str, vectors: DataFrame) -> None:
+        """vectors: part_id, input_hash, vec, for each part of the index; fewer or more are an error."""
+        parts = self.load(case)["parts"]
+        if vectors.count() != parts.count():
+            raise ValueError(f"profile {name} hasn't one vector for each part")
+        version = self.latest(case)["version"]
+        path = f"{self.root}/{case}/{version}/profile-{name}-{time.time_ns():020d}"
+        vectors.write.parquet(path)
+        self.spark.createDataFrame([(case, version, name, path)], "case string, version string, name string, path string").write.mode("append").parquet(f"{self.root}/profiles")
+
+    def load_profile(self, case: str, name: str) -> DataFrame:
+        found = self.profiles(case)
+        if name not in found:
+            raise LookupError(f"{case} has no profile {name}")
+        return self.spark.read.parquet(found[name])
+
+
+def need_reindex(store: IndexStore, cases: DataFrame, model: str, dim: int | None = None) -> list[str]:
+    """Cases, ready or archived, whose index is missing, of another schema, or embedded by another model or dimension."""
+    out = []
+    for r in cases.filter("status in ('ready', 'archived')").select("case_id").orderBy("case_id").collect():
+        at = store.latest(r["case_id"])
+        same = at is not None and at["tables"] and (at["schema"], at["tokenizer"], at["embed_model"]) == (INDEX_SCHEMA, TOKENIZER_VERSION, model)
+        if not same or (dim is not None and at["embed_dim"] != dim):
+            out.append(r["case_id"])
+    return out
+
 
 # ---- cases ----
 STATES = {"created": ["indexing", "archived"], "indexing": ["ready", "error"], "ready": ["indexing", "archived"], "error": ["indexing", "archived"], "archived": []}
 CASES = "case_id string, name string, status string, sources array<string>, error string, updated timestamp, seq bigint"
 
 
+def create_case(cases: DataFrame, case_id: str, name: str, paths: list[str]) -> DataFrame:
+    """The catalog with one more case; an id that it has is an error."""
+    if not cases.filter(F.col("case_id") == case_id).isEmpty():
+        raise ValueError(f"{case_id} is there already")
+    spark = cases.sparkSession
+    seq = (cases.agg(F.max("seq")).first()[0] or 0) + 1
+    new = spark.createDataFrame([(case_id, name, "created", paths, None, None, seq)], CASES).withColumn("updated", F.current_timestamp())
+    return cases.unionByName(new)
+
+
+def rename_case(cases: DataFrame, case_id: str, name: str) -> DataFrame:
+    return cases.withColumn("name", F.when(F.col("case_id") == case_id, name).otherwise(F.col("name")))
+
+
+def drop_case(cases: DataFrame, store: IndexStore, case_id: str) -> DataFrame:
+    """The catalog without a case, whose index is gone, too."""
+    store.delete(case_id)
+    return cases.filter(F.col("case_id") != case_id)
+
+
+def list_cases(cases: DataFrame, status: str | None = None) -> DataFrame:
+    """The newest first; of one status, if given."""
+    return (cases if status is None else cases.filter(F.col("status") == status)).orderBy(F.desc("seq"))
+
+
+def progress(done: Column, total: Column, seconds: Column, idle: Column, most_idle: float = 120.0) -> Column:
+    """percent, eta (seconds; null before anything is done) and whether nothing has been done for `most_idle` seconds."""
+    return F.struct(
+        F.when(total > 0, F.round(100 * done / total, 1)).otherwise(F.lit(0.0)).alias("percent"),
+        F.when(done > 0, F.round(seconds / done * (total - done), 1)).alias("eta"), (idle > most_idle).alias("stalled"),
+    )
+
+
 def change_status(cases: DataFrame, case_id: str, to: str) -> DataFrame:
     """The catalog with one case in another state; a transition that STATES doesn't have is an error."""
     now = cases.filter(F.col("case_id") == case_id).select("status").first()
