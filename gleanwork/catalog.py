@@ -311,8 +311,8 @@ t as (select doc_id, w, row_number() over (partition by doc_id order by n desc,
 select w as topic, count(*) as n from t where k <= 5 group by w order by n desc, topic limit 20"""
 )
 def topics_topk(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(X.topics(F.col("text")).alias("topics"))
-    return A.topic_counts(d)
+    topics = X.topics_of(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return A.topic_counts(topics.select(F.array("topic").alias("topics")))
 
 
 @query(

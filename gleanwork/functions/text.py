@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,13 +148,18 @@ def text_stats(text: Column) -> Column:
     )
 
 
-def topics(text: Column, most: int = 5) -> Column:
-    """The most frequent words (Korean of two syllables, English of three letters, without stop words), of equals the
-    one seen first, Korean words before English ones; none for texts under ten characters."""
+def topic_words(text: Column) -> Column:
+    """What can be a topic, in order: Korean words of two syllables, then English ones of three letters, without stop words;
+    none for texts under ten characters."""
     t = F.coalesce(text, F.lit(""))
     ko = F.filter(F.regexp_extract_all(t, F.lit("[가-힣]{2,}"), F.lit(0)), lambda w: ~w.isin(KO_STOPWORDS))
-    en = F.filter(F.transform(F.regexp_extract_all(t, F.lit("[a-zA-Z]{3,}"), F.lit(0)), F.lower), lambda w: ~w.isin(EN_STOPWORDS))
-    return F.when(F.length(F.trim(t)) < 10, F.array().cast("array<string>")).otherwise(_most_common(F.concat(ko, en), F.lit(most)))
+    en = F.filter(F.regexp_extract_all(F.lower(t), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(EN_STOPWORDS))
+    return F.when(F.length(F.trim(t)) < 10, F.array().cast("array<string>")).otherwise(F.concat(ko, en))
+
+
+def topics(text: Column, most: int = 5) -> Column:
+    """The most frequent of topic_words, of equals the one seen first, row by row. For whole tables see topics_of."""
+    return _most_common(topic_words(text), F.lit(most))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -164,6 +169,42 @@ def _most_common(words: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([[w for w, _ in Counter(list(x)).most_common(int(n))] for x, n in zip(words, most)], dtype=object)
 
 
+def topics_of(units: DataFrame, key: str, text: str = "text", most: int = 5) -> DataFrame:
+    """key, topic, rank: the topics of every unit, by counts with partial results; no text leaves the JVM."""
+    each = units.select(key, F.posexplode(topic_words(F.col(text))).alias("i", "topic"))
+    counted = each.groupBy(key, "topic").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    order = Window.partitionBy(key).orderBy(F.desc("n"), "first")
+    return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(key, "topic", "rank")
+
+
+def whitespace_words(text: Column) -> Column:
+    """Lower-cased runs without white space, without punctuation at their ends: the plainest tokenizer."""
+    edged = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"(?U)^[\W_]+|[\W_]+$", ""))
+    return F.filter(edged, lambda w: w != "")
+
+
+def script_language(text: Column) -> Column:
+    """ko, ja, zh, cs, es, en or unknown, by shares of scripts and some letters, in the first 3,000 characters."""
+    t = F.substring(F.coalesce(text, F.lit("")), 1, 3000)
+    of = lambda p: F.regexp_count(t, F.lit(p))
+    hangul, han, kana = of("[가-힣ㄱ-ㆎ]"), of("[一-鿿]"), of("[぀-ヿ]")
+    latin = of(r"[\p{L}&&[^가-힣ㄱ-ㆎ一-鿿぀-ヿ]]")
+    letters = hangul + han + kana + latin
+    return (
+        F.when(letters == 0, "unknown").when(hangul / letters >= 0.2, "ko").when(kana / letters >= 0.1, "ja").when(han / letters >= 0.3, "zh")
+        .when(of("[ěščřžůťďňĚŠČŘŽŮŤĎŇ]") >= 2, "cs").when((of("[ñÑ]") >= 1) | (of("[áéíóúÁÉÍÓÚ]") >= 3), "es").otherwise("en")
+    )
+
+
+def language_group(text: Column, ko_least: float = 0.7, en_most: float = 0.1) -> Column:
+    """ko, en or mixed by the share of Hangul among Hangul and a-z; with fewer than five such letters, by script_language."""
+    t = F.substring(F.coalesce(text, F.lit("")), 1, 3000)
+    hangul, latin = (F.regexp_count(t, F.lit(p)) for p in ("[가-힣ㄱ-ㆎ]", "[A-Za-z]"))
+    lang, share = script_language(t), hangul / (hangul + latin)
+    few = F.when(lang.isin("unknown", "ko", "en"), lang).otherwise("other")
+    return F.when(hangul + latin < 5, few).when(share >= ko_least, "ko").when(share <= en_most, "en").otherwise("mixed")
+
+
 def fake_embedding(text: str | None, dim: int = 64) -> list[float]:
     """A deterministic embedding without a model: tokens hashed by blake2b into signed buckets, normalised."""
     v = [0.0] * dim

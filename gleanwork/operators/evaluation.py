@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -196,28 +198,128 @@ def missed(qrels: DataFrame, base: DataFrame, runs: DataFrame, names: list[str],
     return lost.join(ranks, ["qid", "unit_id"], "left")
 
 
-def failure_hints(facts: DataFrame, long_tokens: float, depth: int = FAILURE_DEPTH) -> DataFrame:
-    """`facts` (rank_before, rank_after, rank_header, rank_plain, query_lang, unit_lang, n_tokens, is_disputed) with hints."""
-    inside = lambda c: F.coalesce(F.col(c) <= depth, F.lit(False))
+def failure_hints(facts: DataFrame, p95_tokens: float, runs: dict[str, str], depth: int = FAILURE_DEPTH) -> DataFrame:
+    """`facts` with hints why a unit was missed. facts: a rank column for each run (null: not found), query_lang, unit_lang,
+    n_parts, n_tokens, is_disputed. runs: the columns of the runs "base" (reranked, with headers), "fused" (before
+    reranking), "plain" (without headers) and "lexical"; of one that wasn't made, nothing is said.
+
+    Only units that the base run lacks can have been demoted or hurt by headers; a unit is lost across languages if its own
+    language is known, isn't the query's, and the lexical run lacks it. Long is what has several parts or more tokens
+    than 95 % of units."""
+    never = F.lit(False)
+    inside = lambda name: F.coalesce(F.col(runs[name]) <= depth, F.lit(False)) if name in runs else never
+    outside = lambda name: ~inside(name) if name in runs else never
+    told = ~F.coalesce(F.col("unit_lang"), F.lit("")).isin("", "und")
     rules: list[tuple[str, Column]] = [
-        ("rerank_demotion", inside("rank_before") & ~inside("rank_after")),
-        ("header_effect", inside("rank_plain") != inside("rank_header")),
-        ("cross_lingual", F.col("query_lang") != F.col("unit_lang")),
-        ("long_unit", F.col("n_tokens") > long_tokens),
+        ("rerank_demotion", outside("base") & inside("fused")),
+        ("header_effect", outside("base") & inside("plain")),
+        ("cross_lingual", told & (F.col("query_lang") != F.col("unit_lang")) & outside("lexical")),
+        ("long_unit", (F.col("n_parts") >= 2) | (F.col("n_tokens") > p95_tokens)),
         ("disputed", F.col("is_disputed")),
     ]
     return facts.withColumn("hints", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules])))
 
 
+def tokens_p95(parts: DataFrame) -> DataFrame:
+    """p95 of the units' tokens. parts: unit_id, n_tokens."""
+    return parts.groupBy("unit_id").agg(F.sum("n_tokens").alias("n")).agg(F.round(F.percentile("n", F.lit(0.95)), 4).alias("p95"))
+
+
+def keep_annotations(rows: DataFrame, before: DataFrame, columns: list[str], key: tuple[str, ...] = ("qid", "unit_id")) -> DataFrame:
+    """`rows` with what people have written into `columns` before; where they have written nothing, as it is."""
+    old = before.select(*key, *[F.nullif(F.col(c), F.lit("")).alias(f"__{c}") for c in columns])
+    both = rows.join(old, list(key), "left")
+    return both.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def relevant_distribution(queries: DataFrame, qrels: DataFrame, group: str, many: int = 10) -> DataFrame:
+    """group (and total): how many relevant units queries have (grade 1 or more, and grade 2): mean, median, most; queries
+    without one, and with more than `many`. Queries that weren't judged have none."""
+    each = queries.select("qid", group).join(qrels, "qid", "left").groupBy("qid", group).agg(
+        F.sum((F.coalesce("grade", F.lit(0)) >= 1).cast("long")).alias("rel"), F.sum((F.coalesce("grade", F.lit(0)) == 2).cast("long")).alias("top")
+    )
+    of = lambda c: [F.round(F.avg(c), 6).alias(f"{c}_mean"), F.round(F.percentile(c, F.lit(0.5)), 6).alias(f"{c}_median"), F.max(c).alias(f"{c}_max")]
+    table = each.rollup(group).agg(
+        F.grouping(group).alias("g"), F.count("*").alias("n"), *of("rel"), *of("top"), F.sum((F.col("rel") == 0).cast("long")).alias("none"), F.sum((F.col("rel") > many).cast("long")).alias("many")
+    )
+    return table.withColumn(group, F.when(F.col("g") == 1, "total").otherwise(F.col(group))).drop("g")
+
+
+def pool_stats(queries: DataFrame, pooled: DataFrame, max_chars: int) -> DataFrame:
+    """One row: pooled units of a query (mean, least, most; queries without any count), rows, different units, rows and units
+    whose text is longer than max_chars, and that have a translation. pooled: qid, unit_id, n_chars, translated."""
+    per = queries.select("qid").join(pooled.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left")
+    per = per.agg(F.count("*").alias("queries"), F.round(F.avg(F.coalesce("n", F.lit(0))), 6).alias("mean"), F.min(F.coalesce("n", F.lit(0))).alias("least"), F.max(F.coalesce("n", F.lit(0))).alias("most"))
+    cut, told = F.col("n_chars") > max_chars, F.coalesce("translated", F.lit(False))
+    rows = pooled.agg(
+        F.count("*").alias("rows"), F.count_distinct("unit_id").alias("units"), F.count(F.when(cut, 1)).alias("cut_rows"), F.count_distinct(F.when(cut, F.col("unit_id"))).alias("cut_units"),
+        F.count(F.when(told, 1)).alias("translated_rows"), F.count_distinct(F.when(told, F.col("unit_id"))).alias("translated_units"),
+    )
+    return per.withColumn("one", F.lit(1)).join(rows.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def comparison_table(scores: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, n, mean_a, mean_b for each pair of runs. scores: run, qid, value; pairs: a, b (a few)."""
-    of = lambda r: scores.select(F.col("run").alias(r), "qid", F.col("value").alias(f"v{r}"))
-    both = of("a").join(F.broadcast(pairs), "a").join(of("b"), ["b", "qid"])
+    both = _paired(scores, pairs)
     return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("va").alias("mean_a"), F.avg("vb").alias("mean_b"))
 
 
+def _paired(scores: DataFrame, pairs: DataFrame) -> DataFrame:
+    of = lambda r: scores.select(F.col("run").alias(r), "qid", F.col("value").alias(f"v{r}"))
+    return of("a").join(F.broadcast(pairs), "a").join(of("b"), ["b", "qid"])
+
+
+def compared(scores: DataFrame, pairs: DataFrame, seed: int = SEED) -> DataFrame:
+    """comparison_table with the difference (b - a), its interval, p and p adjusted over all pairs as one family."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("qid")
+        d = (pdf["vb"] - pdf["va"]).to_numpy()
+        low, high = bootstrap_interval(d, seed=seed)
+        row = [pdf["a"].iloc[0], pdf["b"].iloc[0], len(d), pdf["va"].mean(), pdf["vb"].mean(), d.mean(), low, high, sign_flip_p(d, seed=seed)]
+        return pd.DataFrame([row], columns=["a", "b", "n", "mean_a", "mean_b", "difference", "low", "high", "p"])
+
+    fields = "a string, b string, n long, mean_a double, mean_b double, difference double, low double, high double, p double"
+    tested = _paired(scores, pairs).groupBy("a", "b").applyInPandas(one, fields)
+    return holm(tested.withColumn("name", F.concat_ws(" ", "a", "b"))).drop("name")
+
+
+def t_test_p(differences) -> float:
+    """Two-sided p of a paired t test; 1 where nothing differs, 0 where all differ alike."""
+    d = np.asarray(differences, float)
+    if len(d) < 2:
+        return float("nan")
+    if np.allclose(d, 0):
+        return 1.0
+    if np.allclose(d, d[0]):
+        return 0.0
+    t2, df = len(d) * d.mean() ** 2 / d.var(ddof=1), len(d) - 1
+    # P(|T| > t) by the substitution T = sqrt(df) tan(angle): the integral of cos(angle)^(df - 1), by Simpson's rule.
+    angles = np.linspace(math.atan(math.sqrt(t2 / df)), math.pi / 2, 20_001)
+    weight = np.where(np.arange(20_001) % 2, 4.0, 2.0)
+    weight[[0, -1]] = 1.0
+    area = (weight * np.cos(angles) ** (df - 1)).sum() * (angles[1] - angles[0]) / 3
+    return float(min(1.0, 2 * area * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)))
+
+
+def permutation_p(differences, n: int = FLIPS, seed: int = 0) -> float:
+    """sign_flip_p as the earlier harness has it: the observed signs count as one of the flips."""
+    found = sign_flip_p(differences, n, seed)
+    return (found * n + 1) / (n + 1)
+
+
 def breakdown(scores: DataFrame, group: str, runs: list[str]) -> DataFrame:
     """group, n, a column for each run, small (fewer than SMALL_GROUP queries)."""
     table = scores.groupBy(group).pivot("run", runs).agg(F.round(F.avg("value"), 6))
     sizes = scores.groupBy(group).agg(F.count_distinct("qid").alias("n"))
     return table.join(sizes, group).withColumn("small", F.col("n") < SMALL_GROUP)
+
+
+def breakdowns(scores: DataFrame, facts: DataFrame, groups: list[str], runs: list[str]) -> DataFrame:
+    """breakdown by each of `groups` (columns of facts: qid, ...), one after the other: grouping, value, n, runs, small."""
+    every = None
+    both = scores.join(facts, "qid")
+    for g in groups:
+        one = breakdown(both, g, runs).select(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("value"), "n", *runs, "small")
+        every = one if every is None else every.unionByName(one)
+    return every

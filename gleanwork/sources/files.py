@@ -78,6 +78,13 @@ def html_text(content: bytes | str) -> str:
     return " ".join(html.unescape(t).split())
 
 
+def pdf_date(value: Column) -> Column:
+    """D:YYYYMMDDHHmmSS and what follows, as an ISO time; missing digits are 0, the zone is dropped; as it is if that is no time."""
+    digits = F.rpad(F.substring(F.regexp_replace(value, "[^0-9]", ""), 1, 14), 14, "0")
+    at = F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss"))
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), value, F.lit(""))
+
+
 def addresses(value: str | None) -> list[str]:
     return [a for _, a in getaddresses([value or ""]) if a]
 
