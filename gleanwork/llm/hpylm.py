@@ -42,6 +42,7 @@ SLICE_TOKENS, MOST_SLICED = 1_000_000, 1_000_000  # a slice's tokens, unless mor
 EXACT = 1024  # customers up to which Stirling ratios are exact
 SMALL = 24  # customers up to which dishes are drawn from all numbers of tables, and not from a window of WINDOW about the mode
 WINDOW = 64
+CHUNK = 1 << 16  # weights computed at once
 FINE = 64  # bins of a doubling in the histogram of frequent words
 
 
@@ -110,6 +111,9 @@ class Law:
         self.groups += [(int(a), int(z), int(k)) for k, a, z in zip(sizes, starts, [*starts[1:], to])]
         mid = int(np.searchsorted(n, EXACT, side="right"))
         self.groups += [(a, z, 0) for a, z in ((to, mid), (mid, len(n))) if z > a]
+        # In chunks: whatever the number of dishes, a step takes a few megabytes, and stays in a core's cache.
+        size = lambda k: max(1, CHUNK // (k or WINDOW))
+        self.groups = [(x, min(x + size(k), z), k) for a, z, k in self.groups for x in range(a, z, size(k))]
 
     def _weights(self, group, c, parent):
         """Numbers of tables, their weights, and the step between them."""
@@ -341,14 +345,17 @@ def _seat_bigrams(total: float, distinct_words: float, n_buckets: int):
             freq_.append(unpack(b[5], np.uint8)[place])
             seen_.append(unpack(b[7], np.uint32).astype(np.int64))
         sizes = [len(s) for s in seen_]
-        room_key, word_key = np.concatenate(rooms_), np.concatenate(words_)
-        dish_key = mix64(room_key) ^ (word_key * MIX)
-        distinct, first, dish = np.unique(dish_key, return_index=True, return_inverse=True)
-        count = np.bincount(dish, weights=np.concatenate(seen_), minlength=len(distinct)).astype(np.int64)
+        room_key, word_key, seen, freq = (np.concatenate(x) for x in (rooms_, words_, seen_, freq_))
+        del rooms_, words_, seen_, freq_
+        distinct, first, dish = np.unique(mix64(room_key) ^ (word_key * MIX), return_index=True, return_inverse=True)
+        dish = dish.astype(np.int32)
+        count = np.bincount(dish, weights=seen, minlength=len(distinct)).astype(np.int64)
         rooms, room = np.unique(room_key[first], return_inverse=True)
+        word_key, freq = word_key[first], freq[first]
+        del room_key, seen, first
         all_rooms, at = np.unique(np.concatenate(rooms_of), return_index=True)
         slices, names = np.concatenate(slices_)[at].astype(np.float64), np.concatenate(names_)[at]
-        parent = (2 ** (np.concatenate(freq_)[first] / 8) - 1 + SMOOTH) / (total + SMOOTH * (distinct_words + 1))
+        parent = (2 ** (freq / 8) - 1 + SMOOTH) / (total + SMOOTH * (distinct_words + 1))
         tables, per_room, last = Seating(count, room, len(rooms), parent, slices, distinct, DISCOUNT).run()
         for part, mine, d in zip(parts, rooms_of, np.split(dish, np.cumsum(sizes)[:-1])):
             at_room = np.searchsorted(rooms, mine)
@@ -356,7 +363,7 @@ def _seat_bigrams(total: float, distinct_words: float, n_buckets: int):
                 pack(count[d].astype(np.uint32)), pack(tables[d].astype(np.uint32)), pack(per_room[at_room].astype(np.uint64)),
             ])
         # Tables are the parent's customers, and go to the words' buckets.
-        words, place = np.unique(word_key[first], return_inverse=True)
+        words, place = np.unique(word_key, return_inverse=True)
         customers = np.bincount(place, weights=last, minlength=len(words)).astype(np.uint32)
         yield from send_keys(FROM_BUCKETS - bucket, words, [customers], n_buckets)
         cut = np.flatnonzero(slices > 1)
