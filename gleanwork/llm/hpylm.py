@@ -14,8 +14,8 @@ don't depend on how many parts and buckets there are.
 
 A context with very many tokens is cut into slices by the hash of the word, each of which stands for its share
 of the restaurant; tables of slices are summed afterwards. The unigram restaurant has all words, which many buckets hold: its
-number of tables is taken at its mean-field value (that which gives itself as the expected sum over the words), and each
-word is seated given that.
+number of tables is taken at its mean-field value (that which gives itself as the expected sum over the words). Given that,
+words don't depend on each other, and the expectation that sampling would approach is computed for each.
 """
 
 from __future__ import annotations
@@ -166,15 +166,15 @@ class Law:
 
 class Seating:
     """Tables of many restaurants. dish i, known by key[i], is a word of restaurant room[i] with count[i] customers; parent[i] is its
-    probability in the parent. A restaurant here is a share 1 / slices[room] of the whole; or it has `tables_of_all` in all."""
+    probability in the parent. A restaurant here is a share 1 / slices[room] of the whole."""
 
-    def __init__(self, count, room, n_rooms, parent, slices, key, discount, strength=STRENGTH, tables_of_all=None):
+    def __init__(self, count, room, n_rooms, parent, slices, key, discount, strength=STRENGTH):
         self.count, self.room, self.n_rooms, self.slices, self.d, self.theta = count, room, n_rooms, slices, discount, strength
         self.tables = (count > 0).astype(np.int64)
         at = np.flatnonzero(count >= 2)  # a single customer has one table whatever happens
         self.at = at[np.argsort(count[at], kind="stable")]
         self.law = Law(count[self.at].astype(np.int64), discount)
-        self.parent, self.key, self.all = parent[self.at], key[self.at], tables_of_all
+        self.parent, self.key = parent[self.at], key[self.at]
 
     def rooms(self) -> np.ndarray:
         """Tables of each restaurant's part."""
@@ -184,7 +184,7 @@ class Seating:
         if not len(self.at):
             return
         own = self.tables[self.at]
-        whole = (self.rooms() * self.slices)[self.room[self.at]] if self.all is None else self.all
+        whole = (self.rooms() * self.slices)[self.room[self.at]]
         c = self.theta + self.d * np.maximum(whole - own, 0)
         self.tables[self.at] = self.law.draw(c, self.parent, uniform(self.key, salt))
 
@@ -199,7 +199,7 @@ class Seating:
         return dish, rooms.astype(np.int64), self.tables
 
 
-KEPT = SWEEPS - BURN_IN
+KEPT, WHOLE = SWEEPS - BURN_IN, 1 << 20
 
 
 def predictive(count, tables, rooms, context, parent, d: float, strength: float = STRENGTH):
@@ -388,25 +388,29 @@ def _sum_words(bucket: int, rows):
         if part >= 0:
             yield part, bucket, join_blobs([pack(customers[place])])
     yield -1, bucket, join_blobs([pack(x) for x in histogram(customers)])
-    yield -3, bucket, join_blobs([pack_sorted(keys), pack(customers)])
+    yield -3, bucket, join_blobs([pack(customers)])
 
 
-def seat_words(keys: np.ndarray, customers: np.ndarray, tables: float, distinct_words: float) -> np.ndarray:
-    """Sums of the words' tables in the unigram restaurant over the sweeps after burn-in; each word's depends on nothing else."""
-    base = np.full(len(keys), 1 / (distinct_words + 1))
-    one = Seating(customers, np.zeros(len(keys), np.int64), 1, base, np.ones(1), mix64(keys ^ MIX), WORD_DISCOUNT, tables_of_all=tables)
-    return one.run()[0]
+def word_tables(customers: np.ndarray, tables: float, distinct_words: float) -> np.ndarray:
+    """Expected tables of words in the unigram restaurant that has `tables` in all, in units of 1 / WHOLE (so that sums are
+    exact). All words have the same base probability there: words of equal customers have equal expectations."""
+    n, place = np.unique(customers, return_inverse=True)
+    found = (n > 0).astype(np.float64)
+    many = n >= 2
+    law, base = Law(n[many].astype(np.int64), WORD_DISCOUNT), np.full(int(many.sum()), 1 / (distinct_words + 1))
+    for _ in range(4):  # a word's own tables are taken out of the others': they settle at once
+        found[many] = law.mean(STRENGTH + WORD_DISCOUNT * np.maximum(tables - found[many], 0), base)
+    return np.round(found * WHOLE).astype(np.int64)[place]
 
 
 def _seat_all_words(tables: float, distinct_words: float):
-    """What all words have: customers, and tables summed over the sweeps."""
+    """What all words have: customers, and expected tables."""
 
     def run(batches):
         for batch in batches:
             for bucket, payload in zip(batch.column(1).to_pylist(), batch.column(2)):
-                keys, customers = split_blobs(payload.as_py())
-                customers = unpack(customers, np.int64)
-                found = seat_words(unpack_sorted(keys), customers, tables, distinct_words)
+                customers = unpack(split_blobs(payload.as_py())[0], np.int64)
+                found = word_tables(customers, tables, distinct_words)
                 yield from _table([(-1, bucket, join_blobs([pack(np.array([0, 1])), pack(np.array([customers.sum(), found.sum()], np.int64))]))])
 
     return run
@@ -488,7 +492,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", chars:
     bins = sorted(_stats(parents).items())
     tables_of_all = tables_of_words(*(np.array(x, np.int64) for x in zip(*bins)), 1 / (distinct_words + 1)) if bins else 0.0
     seats = _stats(parents.filter("part = -3").mapInArrow(_seat_all_words(tables_of_all, distinct_words), SCHEMA))
-    customers, all_tables = float(seats.get(0, 0)), seats.get(1, 0) / KEPT
+    customers, all_tables = float(seats.get(0, 0)), seats.get(1, 0) / WHOLE
     parents = parents.withColumn("tag", F.when(F.col("part") >= 0, F.col("tag") + 2 * n).otherwise(F.col("tag")))
     shared = sc.broadcast(cut)
 
@@ -504,9 +508,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", chars:
         if shared.value:
             whole = np.array([shared.value.get(k, -1.0) if s > 1 else -1.0 for k, s in zip(grams.keys.tolist(), grams.slices.tolist())])
             tables_of_room = np.where(whole[u] >= 0, whole[u], tables_of_room)
-        dishes, at = np.unique(lex.keys & DISH, return_inverse=True)
+        at = np.unique(lex.keys & DISH, return_inverse=True)[1]
         own = lex.answers(got, [np.int64], 2 * n, n)[0]
-        mean = seat_words(dishes, own, tables_of_all, distinct_words) / KEPT
+        mean = word_tables(own, tables_of_all, distinct_words) / WHOLE
         unigram = predictive(own, mean, all_tables, customers, 1 / (distinct_words + 1), WORD_DISCOUNT)[at]
         p = predictive(count_, tables / KEPT, tables_of_room, grams.of[u], unigram[grams.w], DISCOUNT)
         each, word = np.log10(p)[grams.token], grams.word

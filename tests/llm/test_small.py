@@ -204,11 +204,10 @@ def test_seating_bounds_and_predictions_sum_to_one():
     count[[3, v + 5]] = 5000, 200_000
     room = np.repeat([0, 1, 2], v)
     customers = rng.integers(0, 60, v)
-    words = np.arange(v, dtype=np.uint64) * np.uint64(977)
     bins = hpylm.histogram(customers)
     whole = hpylm.tables_of_words(*bins, 1 / (v + 1))
-    tables = hpylm.seat_words(words, customers, whole, float(v)) / hpylm.KEPT
-    assert abs(tables.sum() - whole) < 0.05 * whole
+    tables = hpylm.word_tables(customers, whole, float(v)) / hpylm.WHOLE
+    assert abs(tables.sum() - whole) < 0.01 * whole + 1 and (tables <= customers).all() and (tables[customers > 0] >= 1).all()
     unigram = hpylm.predictive(customers, tables, tables.sum(), customers.sum(), 1 / (v + 1), hpylm.WORD_DISCOUNT)
     unknown = hpylm.predictive(0, 0, tables.sum(), customers.sum(), 1 / (v + 1), hpylm.WORD_DISCOUNT)
     assert abs(unigram.sum() + unknown - 1) < 1e-9
