@@ -99,11 +99,11 @@ def dense_ranked(spark, sf_dir, limit):
     return S.dense_ranked(v, asked, limit, digits=5)
 
 
-def dense_sql(limit: int) -> str:
+def dense_sql(limit: int, digits: int = 5, among: str = "embeddings") -> str:
     return f"""dense as (
-  select * from (select 'q' || (q.vec_id + 1) as qid, v.vec_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 5) as score,
-    row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 5) desc, v.vec_id) as rank
-    from embeddings q, embeddings v where q.vec_id % 20 = 0) where rank <= {limit})
+  select * from (select 'q' || (q.vec_id + 1) as qid, v.vec_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), {digits}) as score,
+    row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), {digits}) desc, v.vec_id) as rank
+    from embeddings q, {among} v where q.vec_id % 20 = 0) where rank <= {limit})
 """
 
 
@@ -116,14 +116,16 @@ def fused(spark, sf_dir):
     return S.fuse({"bm25": bm25_ranked(spark, sf_dir, 50), "dense": dense_ranked(spark, sf_dir, 50)})
 
 
-FUSED_SQL = (
-    bm25_sql(limit=50) + ", " + dense_sql(50) + """, merged as (
+def fused_sql(dense: str) -> str:
+    return bm25_sql(limit=50) + ", " + dense + """, merged as (
   select qid, doc_id as unit_id, rank, 'bm25' as stage from bm25 union all select qid, vec_id, rank, 'dense' from dense),
 f as (select qid, unit_id, list_sum(list_transform(list_sort(list(rank)), lambda r: 1.0::double / (60 + r))) as s, min(rank) as best,
   arg_min(stage, rank * 2 + case stage when 'dense' then 1 else 0 end) as first_stage from merged group by all),
 fr as (select *, row_number() over (partition by qid order by s desc, best, unit_id) as rank from f)
 """
-)
+
+
+FUSED_SQL = fused_sql(dense_sql(50))
 
 
 @query(FUSED_SQL + "select qid, unit_id, cast(rank as integer) as rank, round(s, 9) as score from fr where rank <= 100")
@@ -609,3 +611,6 @@ def set_operations(spark, sf_dir):
     l = read(spark, sf_dir, "lineitem")
     r, a = (l.filter(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("k")) for f in "RA")
     return r.intersect(a).withColumn("kind", F.lit("both")).unionByName(r.subtract(a).withColumn("kind", F.lit("only")))
+
+
+from gleanwork import catalog_more  # noqa: E402, F401  registers more queries

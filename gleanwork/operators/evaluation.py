@@ -240,9 +240,9 @@ def relevant_distribution(queries: DataFrame, qrels: DataFrame, group: str, many
     )
     of = lambda c: [F.round(F.avg(c), 6).alias(f"{c}_mean"), F.round(F.percentile(c, F.lit(0.5)), 6).alias(f"{c}_median"), F.max(c).alias(f"{c}_max")]
     table = each.rollup(group).agg(
-        F.grouping(group).alias("g"), F.count("*").alias("n"), *of("rel"), *of("top"), F.sum((F.col("rel") == 0).cast("long")).alias("none"), F.sum((F.col("rel") > many).cast("long")).alias("many")
+        F.grouping(group).alias("__all"), F.count("*").alias("n"), *of("rel"), *of("top"), F.sum((F.col("rel") == 0).cast("long")).alias("none"), F.sum((F.col("rel") > many).cast("long")).alias("many")
     )
-    return table.withColumn(group, F.when(F.col("g") == 1, "total").otherwise(F.col(group))).drop("g")
+    return table.withColumn(group, F.when(F.col("__all") == 1, "total").otherwise(F.col(group))).drop("__all")
 
 
 def pool_stats(queries: DataFrame, pooled: DataFrame, max_chars: int) -> DataFrame:
