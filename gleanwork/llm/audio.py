@@ -123,14 +123,16 @@ def features(samples: bytes, rate: int = RATE) -> tuple[np.ndarray, list[tuple[f
     """Tensors [n, SPAN_FRAMES, MELS] (float16) and for each its start and end in seconds and its number of true frames.
 
     Segments of speech-like energy are cut into spans of at most SPAN_FRAMES frames; the last of a segment is filled
-    with zeros. Equal samples give equal features. No samples or silence: no segment.
+    with zeros. Equal samples give equal features. Where energy stays so even that no frame stands out (a text of one frame,
+    silence), all frames are one segment: every text has a span.
     """
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     g = int(np.gcd(rate, TARGET))
     mel = log_mel(resample(x, TARGET // g, rate // g))
     energy = mel.mean(axis=1)
     energy = energy - energy.mean()
-    spans = [(a, min(a + SPAN_FRAMES, end)) for start, end in hysteresis(energy, ON, OFF) for a in range(start, end, SPAN_FRAMES)]
+    segments = hysteresis(energy, ON, OFF) or [(0, len(energy))]
+    spans = [(a, min(a + SPAN_FRAMES, end)) for start, end in segments for a in range(start, end, SPAN_FRAMES)]
     out = np.zeros((len(spans), SPAN_FRAMES, MELS), np.float16)
     for k, (a, b) in enumerate(spans):
         out[k, : b - a] = mel[a:b]
@@ -138,11 +140,21 @@ def features(samples: bytes, rate: int = RATE) -> tuple[np.ndarray, list[tuple[f
     return out, [(round(a * step, 4), round(b * step, 4), b - a) for a, b in spans]
 
 
+def tensor_bytes(tensors: np.ndarray) -> bytes:
+    """Tensors [n, SPAN_FRAMES, MELS] as an Arrow stream of one column, `tensor`, of fixed shape: what the column `tensors` holds."""
+    kind = pa.fixed_shape_tensor(pa.float16(), (SPAN_FRAMES, MELS))
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1)), SPAN_FRAMES * MELS)
+    batch = pa.RecordBatch.from_arrays([pa.ExtensionArray.from_storage(kind, flat)], ["tensor"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def tensor_array(binary: bytes) -> pa.Array:
     """The `tensors` column of one row as Arrow's fixed-shape tensor array."""
-    flat = np.frombuffer(binary, np.float16)
-    kind = pa.fixed_shape_tensor(pa.float16(), (SPAN_FRAMES, MELS))
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(flat), SPAN_FRAMES * MELS))
+    with pa.ipc.open_stream(binary) as reader:
+        return reader.read_all().column("tensor").combine_chunks()
 
 
 MEDIA = "key long, n_bytes long, media binary, samples binary, spans array<struct<start_s:double,end_s:double,frames:int>>, tensors binary"
@@ -161,7 +173,7 @@ def _media(batches):
             media = encode_wav(payload)
             rate, samples = decode_wav(media)
             tensors, spans = features(samples, rate)
-            rows.append((key, len(data), media, samples, [dict(zip(("start_s", "end_s", "frames"), s)) for s in spans], tensors.tobytes()))
+            rows.append((key, len(data), media, samples, [dict(zip(("start_s", "end_s", "frames"), s)) for s in spans], tensor_bytes(tensors)))
             held += 4 * len(media)
             if held > 8_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _types(pa, spans_type))], names)

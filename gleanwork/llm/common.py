@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests, one machine), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine (as in
+    tests) gets one of our own; on a cluster that is an error, as executors have no folder in common."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gleanwork-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -32,7 +32,7 @@ KEY_MASK = np.uint64(0xFFFFFFFFFFFF0000)  # shingles are told apart by 48 bits
 TABLE = 1 << 16
 CHUNK = 1 << 16  # shingles sampled at once: they stay in a core's cache
 MET_ROWS = 500_000  # rows of texts in buckets for one task of a round
-COMPARED = 200  # texts compared with one copy of a bucket's text
+COMPARED = 64  # texts compared with one copy of a bucket's text
 
 
 def split_words(text: str) -> list[bytes]:

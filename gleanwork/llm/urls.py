@@ -38,7 +38,8 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst, w: how many links from pages of src lead to dst, other than src. pages: host, html."""
+    """src, dst, w: how many links from pages of src lead to dst, other than src. pages: host, html. A link without a
+    host leads to the page's own, and so is no edge."""
     links = pages.filter("host != ''").select(
         F.col("host").alias("src"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))).alias("link")
     )

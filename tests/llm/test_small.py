@@ -18,7 +18,23 @@ def test_wav_round_trip_and_features():
     assert audio.decode_wav(audio.encode_wav(payload)) == (audio.RATE, payload)
     a, b = audio.features(payload), audio.features(payload)
     assert (a[0] == b[0]).all() and a[1] == b[1] and a[0].shape[1:] == (audio.SPAN_FRAMES, audio.MELS)
-    assert audio.features(b"")[1] == [] and len(audio.tensor_array(a[0].tobytes())) == len(a[0])
+    back = audio.tensor_array(audio.tensor_bytes(a[0]))
+    assert back.type.shape == [audio.SPAN_FRAMES, audio.MELS] and (back.to_numpy_ndarray() == a[0]).all()
+    for even in (b"", b"\0" * 64, b"a" * 64):
+        tensors, spans = audio.features(even)
+        assert len(spans) == len(tensors) == 1 and spans[0][2] == 1
+
+
+def test_log_mel_against_a_plain_transform():
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 0.3, audio.WINDOW + 3 * audio.HOP).astype(np.float32)
+    got = audio.log_mel(x)
+    n = np.arange(audio.FFT)
+    for k in range(4):
+        w = np.zeros(audio.FFT)
+        w[: audio.WINDOW] = x[k * audio.HOP : k * audio.HOP + audio.WINDOW] * np.hanning(audio.WINDOW)
+        power = [abs((w * np.exp(-2j * np.pi * f * n / audio.FFT)).sum()) ** 2 for f in range(audio.FFT // 2 + 1)]
+        assert np.allclose(got[k], np.log(np.array(power) @ audio._mel_bank() + 1e-6), atol=1e-3)
     with pytest.raises(ValueError):
         audio.decode_wav(b"RIFFxxxxWAVE")
 
