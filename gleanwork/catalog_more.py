@@ -435,7 +435,7 @@ def citation_checks(spark, sf_dir):
 
 
 @query(
-    """select o_orderkey, case when o_orderkey % 3 = 0 then o_orderkey % 100 when o_orderkey % 3 = 1 then o_orderkey % 50 else 3 end as input, case when o_orderkey % 3 < 2 then 7 else 1 end as output,
+    """select o_orderkey, case when o_orderkey % 3 = 0 then o_orderkey % 100 when o_orderkey % 3 = 1 then o_orderkey % 50 else 3 end as input, cast(case when o_orderkey % 3 < 2 then 7 else 1 end as bigint) as output,
   case o_orderkey % 3 when 0 then 'usage_metadata' when 1 then 'server' else 'estimate' end as source from orders"""
 )
 def token_usage(spark, sf_dir):
