@@ -6,6 +6,7 @@ small, so that edits of much copied texts, rare by nature, don't outweigh what i
 in a bucket. In each bucket the text that meets most others is compared with those that aren't yet linked to it, and
 leaves; in later rounds more at a time, and only where a bucket still holds texts of several classes, until none does. So
 all texts that met are compared or linked, and a bucket of n copies of one text costs n comparisons and not n squared.
+Pairs whose similarity can't reach the threshold, as too much of a text is in no other, are known without comparing.
 Classes are the connected components of the links.
 """
 
@@ -32,6 +33,7 @@ KEY_MASK = np.uint64(0xFFFFFFFFFFFF0000)  # shingles are told apart by 48 bits
 TABLE = 1 << 16
 CHUNK = 1 << 16  # shingles sampled at once: they stay in a core's cache
 MET_ROWS = 500_000  # rows of texts in buckets for one task of a round
+SLACK = 1e-5  # of similarities: weights are compared in single precision
 COMPARED = 64  # texts compared with one copy of a bucket's text
 
 
@@ -259,6 +261,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         weight = weights(texts.counts, df.astype(np.float64), n_docs)
         full = np.flatnonzero(texts.sizes)
         starts = (np.cumsum(texts.sizes) - texts.sizes)[full]
+        # A text's least frequency, what its shingles of that frequency weigh, and what all do.
+        rarest, own, whole = np.zeros(len(texts.names), np.int64), np.zeros(len(texts.names)), np.zeros(len(texts.names))
+        if len(full):
+            rarest[full] = np.minimum.reduceat(df, starts)
+            own[full] = np.add.reduceat(weight * (df == np.repeat(rarest[full], texts.sizes[full])), starts)
+            whole[full] = np.add.reduceat(weight, starts)
         bands = np.zeros((len(texts.names), BANDS), np.uint64)
         if len(full):
             bands[full] = samples(texts.keys, weight, starts, _draws())
@@ -267,13 +275,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         yield pa.RecordBatch.from_arrays([
             pa.array(rows), pa.array(part.ids, mask=~part.known), pa.array(names[texts.of, 0]), pa.array(names[texts.of, 1]),
             pa.array([bands[k].view(np.int64).tolist() if texts.sizes[k] and texts.first[k] == i else [] for i, k in enumerate(texts.of)], pa.list_(pa.int64())),
-        ], ["row", "key", "h1", "h2", "bands"])
+            pa.array(rarest[texts.of]), pa.array(own[texts.of]), pa.array(whole[texts.of]),
+        ], ["row", "key", "h1", "h2", "bands", "rarest", "own", "whole"])
 
-    signed = materialise(at_parts([parts, answers.filter(F.col("tag") < OFTEN)], n, sign, "row long, key long, h1 long, h2 long, bands array<long>", raw=True), "signed")
+    signed = materialise(at_parts([parts, answers.filter(F.col("tag") < OFTEN)], n, sign, "row long, key long, h1 long, h2 long, bands array<long>, rarest long, own double, whole double", raw=True), "signed")
     # One text of each word sequence: that of its least row, the first of its part and so one with bands.
-    texts = signed.groupBy("h1", "h2").agg(F.min("row").alias("text"), F.min("key").alias("key"))
+    # Shingles as rare as the text itself are in no other text.
+    alone = F.when(F.min("rarest") == F.count("*"), F.min("own")).otherwise(0.0).alias("alone")
+    texts = signed.groupBy("h1", "h2").agg(F.min("row").alias("text"), F.min("key").alias("key"), alone, F.min("whole").alias("whole"))
     texts = materialise(texts, "texts")
-    met = signed.filter(F.size("bands") > 0).join(texts.select(F.col("text").alias("row")), "row", "left_semi")
+    # What a text shares with any other is at most `whole - alone`: if that is too little, it meets none.
+    weighed = texts.filter((F.col("whole") - F.col("alone")) >= (threshold - SLACK) * F.col("whole")).select(F.col("text").alias("row"), "alone", "whole")
+    met = signed.filter(F.size("bands") > 0).select("row", "bands").join(weighed.select("row"), "row", "left_semi")
     met = met.select(F.col("row").alias("text"), F.explode("bands").alias("bucket"))
     shared = met.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     met = materialise(met.join(shared, "bucket"), "met")
@@ -314,6 +327,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     vectors = materialise(at_parts([parts, answers.filter(F.col("tag") >= OFTEN), asked], n, vectors_of, "text long, blob binary", raw=True), "vectors")
 
     label = met.groupBy("text").agg(F.sum("n").alias("places")).withColumn("label", F.col("text"))
+    label = label.join(weighed.withColumnRenamed("row", "text"), "text").select("text", "places", "alone", "whole", "label")
     label = materialise(label.coalesce(width), "alone")
     met, tested, r = met.select("text", "bucket"), None, 0
     while True:
@@ -334,11 +348,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         else:
             of = here.groupBy("bucket").agg(best).select("bucket", (-F.col("best.text")).alias("best"))
             is_center = F.col("text") == F.col("best")
-        marked = here.join(of, "bucket").select("bucket", "text", "label", is_center.alias("is_center")).coalesce(width)
+        marked = here.join(of, "bucket").select("bucket", "text", "label", "alone", "whole", is_center.alias("is_center")).coalesce(width)
         if r:
             marked = materialise(marked, "marked")
-        centers = marked.filter("is_center").select("bucket", F.col("text").alias("center"), F.col("label").alias("its"))
-        pairs = here.join(centers, "bucket").filter("label <> its").select("center", F.col("text").alias("other")).coalesce(width)
+        centers = marked.filter("is_center").select(
+            "bucket", F.col("text").alias("center"), F.col("label").alias("its"), F.col("alone").alias("its_alone"), F.col("whole").alias("its_whole")
+        )
+        # No pair is more similar than what either shares with others at all lets it be; the rest needn't be compared.
+        most = F.least(F.col("whole") - F.col("alone"), F.col("its_whole") - F.col("its_alone"))
+        hopeful = most >= (threshold - SLACK) * F.greatest(F.col("whole") + F.col("its_alone"), F.col("its_whole") + F.col("alone"))
+        pairs = here.join(centers, "bucket").filter("label <> its").filter(hopeful).select("center", F.col("text").alias("other")).coalesce(width)
         pairs = pairs.groupBy(F.least("center", "other").alias("a"), F.greatest("center", "other").alias("b")).agg(F.min("center").alias("center"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -356,7 +375,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         of = lambda end: label.select(F.col("text").alias(end), F.col("label").alias(f"l{end}"))
         between = new.join(of("u"), "u").join(of("v"), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")).filter("u <> v").coalesce(width)
         joined = components(between, width).select(F.col("node").alias("label"), F.col("label").alias("to"))
-        label = label.join(joined, "label", "left").select("text", "places", F.coalesce("to", "label").alias("label"))
+        label = label.join(joined, "label", "left").select("text", "places", "alone", "whole", F.coalesce("to", "label").alias("label"))
         label = materialise(label.coalesce(width), "labels")
     classes = texts.join(label.select("text", "label"), "text", "left").select("h1", "h2", "key", "text", F.coalesce("label", "text").alias("label"))
     least = classes.groupBy("label").agg(F.min("key").alias("class_id"), F.min("text").alias("class_row"))
