@@ -357,7 +357,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         # No pair is more similar than what either shares with others at all lets it be; the rest needn't be compared.
         most = F.least(F.col("whole") - F.col("alone"), F.col("its_whole") - F.col("its_alone"))
         hopeful = most >= (threshold - SLACK) * F.greatest(F.col("whole") + F.col("its_alone"), F.col("its_whole") + F.col("alone"))
-        pairs = here.join(centers, "bucket").filter("label <> its").filter(hopeful).select("center", F.col("text").alias("other")).coalesce(width)
+        differ = (F.col("label") != F.col("its")) & hopeful
+        if r:
+            # Two texts that share several buckets make their pair in the least one only, of those where the one is a center.
+            of_text = lambda rows, key, name: rows.groupBy(key).agg(F.array_sort(F.collect_set("bucket")).alias(name))
+            centers = centers.join(of_text(centers, "center", "its_buckets"), "center")  # BANDS buckets a text at most
+            others = here.join(of_text(here, "text", "buckets"), "text")
+            differ = differ & (F.array_min(F.array_intersect("buckets", "its_buckets")) == F.col("bucket"))
+        else:
+            others = here
+        pairs = others.join(centers, "bucket").filter(differ).select("center", F.col("text").alias("other")).coalesce(width)
         pairs = pairs.groupBy(F.least("center", "other").alias("a"), F.greatest("center", "other").alias("b")).agg(F.min("center").alias("center"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
