@@ -15,7 +15,7 @@ from gleanwork.functions.language import detect_language
 from gleanwork.functions.mail import body_of_message, is_ad_subject, is_forwarded, strip_quoted
 from gleanwork.operators import search as S
 from gleanwork.operators import units as U
-from gleanwork.sources import files
+from gleanwork.sources import files, mailbox
 from gleanwork.sources.tables import IndexStore, check_failure_rate, read_or_none, remove
 
 SEP = "\u0000"  # in no path or name
@@ -62,12 +62,12 @@ def page_units(documents: DataFrame, kind: str = "document") -> DataFrame:
     name = F.substring_index("path", "/", -1)
     shared = [F.col("path").alias("source_file"), name.alias("filename"), "file_type", m("author").alias("author"), m("last_modified_by").alias("last_modified_by"),
               m("created_date").alias("created_date"), m("last_modified").alias("last_modified"), F.coalesce(m("last_modified"), m("created_date")).alias("date")]
-    paged = usable.filter("file_type <> 'xlsx'").select("path", F.size("pages").alias("page_count"), F.posexplode("pages").alias("n", "text"), *shared)
+    paged = usable.filter("file_type not in ('xlsx', 'xls')").select("path", F.size("pages").alias("page_count"), F.posexplode("pages").alias("n", "text"), *shared)
     paged = paged.filter(F.trim("text") != "").withColumn("page", F.col("n") + 1)
     label = F.when(F.col("file_type") == "pptx", "슬라이드 ").otherwise("p.")
     place = F.when(F.col("page_count") > 1, F.concat(label, F.col("page").cast("string"), F.lit("/"), F.col("page_count").cast("string"))).otherwise("")
     paged = paged.withColumns({"unit_id": ids.document_id(F.col("path"), F.concat(F.lit(":p"), F.col("page").cast("string"))), "position": place})
-    sheets = usable.filter("file_type = 'xlsx'").select("path", "doc_no", F.coalesce(m("sheet_name"), F.lit("")).alias("sheet"), F.explode(blocks("pages", "rows")).alias("b"), *shared)
+    sheets = usable.filter("file_type in ('xlsx', 'xls')").select("path", "doc_no", F.coalesce(m("sheet_name"), F.lit("")).alias("sheet"), F.explode(blocks("pages", "rows")).alias("b"), *shared)
     rows = F.concat_ws("-", F.col("b.first").cast("string"), F.col("b.last").cast("string"))
     sheets = sheets.select("*", F.col("b.text").alias("text"), F.concat(F.col("sheet"), F.lit("!"), rows).alias("position"),
         ids.document_id(F.col("path"), F.concat(F.lit(":s"), (F.col("doc_no") + 1).cast("string"), F.lit("r"), rows)).alias("unit_id"))
@@ -277,16 +277,20 @@ def build_profile(spark: SparkSession, store: IndexStore, case: str, name: str,
 
 
 def index_files(spark: SparkSession, roots: list[str], store: IndexStore, case: str, embedder=None, messages: DataFrame | None = None) -> str:
-    """Files below `roots` and chat `messages` (see chat_units) to an index. Parsed documents are written, not cached: an
-    executor that is lost costs no parsing again."""
+    """Files below `roots`, with the mails and chats of mailboxes, and chat `messages` (see chat_units) to an index. Parsed
+    documents are written, not cached: an executor that is lost costs no parsing again."""
     folder = f"{store.root}/{case}/parsed-{time.time_ns()}"
-    files.parse_files(files.discover(spark, roots)).write.parquet(folder)
-    documents = spark.read.parquet(folder)
+    plain = [e for e in files.SUPPORTED if e not in mailbox.READERS]
+    mailbox.mailbox_messages(files.discover(spark, roots, sorted(mailbox.READERS))).write.parquet(f"{folder}/messages")
+    found = spark.read.parquet(f"{folder}/messages")
+    files.parse_files(files.discover(spark, roots, plain)).unionByName(mailbox.mail_documents(found)).write.parquet(f"{folder}/documents")
+    documents = spark.read.parquet(f"{folder}/documents")
+    chats = mailbox.chat_messages(found)
+    messages = chats if messages is None else messages.select(chats.columns).unionByName(chats)
     try:
         attached, _ = attachment_units(documents)
         units = mail_units(documents).unionByName(page_units(documents)).unionByName(attached)
-        if messages is not None:
-            units = units.unionByName(chat_units(messages))
+        units = units.unionByName(chat_units(messages))
         return index_parts(spark, store, case, finish(units), embedder)
     finally:
         remove(spark, folder)

@@ -1,7 +1,7 @@
 """Files to documents: discovery, format detection and parsers that need no more than the standard library.
 
-PDF, MSG, XLS and mailbox files need libraries that may be missing: register a parser for them; without one their rows
-say so in `error`, and nothing is made up.
+PST and OST mailboxes need a library that may be missing: register a parser for them; without one their rows say so in
+`error`, and nothing is made up. Pictures of pages: see sources.ocr.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanwork.sources.ole import read_msg, read_xls
+from gleanwork.sources.pdf import read_pdf
+
 # ---- fixed values ----
 SUPPORTED = ["pdf", "docx", "pptx", "xlsx", "xls", "html", "htm", "txt", "eml", "msg", "pst", "ost"]
 CHARSETS = ["utf-8", "utf-8-sig", "cp949", "euc-kr", "latin-1"]
@@ -199,8 +202,31 @@ def parse_xlsx(content: bytes) -> list[Parsed]:
     return out
 
 
+def parse_pdf(content: bytes) -> Parsed:
+    """A page for each page, empty ones included."""
+    pages, meta = read_pdf(content)
+    return Parsed("pdf", pages, meta=meta)
+
+
+def parse_msg(content: bytes) -> Parsed:
+    """As parse_eml; the plain body before the HTML one."""
+    body, f, attached = read_msg(content, decode_text, html_text)
+    address, name = ([x[k] for x in f["recipients"] + f["cc"]] for k in (0, 1))
+    n = len(f["recipients"])
+    meta = {
+        "recipients": "\n".join(address[:n]), "recipient_names": "\n".join(name[:n]), "cc": "\n".join(address[n:]), "cc_names": "\n".join(name[n:]),
+        "references": "\n".join(f["references"]), "participants": "\n".join(merge_names([f["sender"]], address)),
+    }
+    return Parsed("msg", [body.strip()], meta={k: f[k] for k in ("subject", "sender", "sender_name", "date", "message_id", "in_reply_to")} | meta, attachments=attached)
+
+
+def parse_xls(content: bytes) -> list[Parsed]:
+    """As parse_xlsx."""
+    return [Parsed("xls", lines, numbers, {"sheet_name": name}) for name, lines, numbers in read_xls(content)]
+
+
 PARSERS: dict[str, Callable[[bytes], Parsed | list[Parsed]]] = {
-    "eml": parse_eml, "docx": parse_docx, "pptx": parse_pptx, "xlsx": parse_xlsx,
+    "eml": parse_eml, "docx": parse_docx, "pptx": parse_pptx, "xlsx": parse_xlsx, "pdf": parse_pdf, "msg": parse_msg, "xls": parse_xls,
     "html": lambda b: Parsed("html", [html_text(b)]), "htm": lambda b: Parsed("html", [html_text(b)]), "txt": lambda b: Parsed("txt", [decode_text(b)]),
 }
 
