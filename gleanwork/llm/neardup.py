@@ -204,16 +204,16 @@ def compare(pairs: DataFrame, vectors: DataFrame, n_tasks: int, width: int = 8)
     return both.select("center", "other", "blob").mapInArrow(_compare, "center long, other long, similarity double")
 
 
-def components(edges: DataFrame, width: int = 8, most: int = 40) -> DataFrame:
+def components(edges: DataFrame, width: int = 8) -> DataFrame:
     """node, label: of every node of `edges` (u, v), the least node that it is connected with.
 
     `width` is the number of tasks that a step's results go to: a number that follows the size of the graph.
-    Large-star and small-star steps in turn: rounds grow with the logarithm of a component's size, and no component is
-    ever in one place."""
+    Large-star and small-star steps in turn, until a step changes nothing: rounds grow with the logarithm of a component's
+    size, and no component is ever in one place."""
     now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialise(now.coalesce(width), "cc")
     before = None
-    for _ in range(most):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").coalesce(width)
