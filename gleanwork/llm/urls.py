@@ -48,11 +48,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-7) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-7) -> DataFrame:
     """Personalised PageRank of both kinds at once: kind, host, score.
 
     seeds: kind (trust or distrust), host, seed (its share of restarts). Trust follows edges, distrust runs against
-    them. A walk from a host without a way on ends there. Rounds end when no score moves by more than tolerance.
+    them. A walk from a host without a way on ends there. Rounds end when no score moves by more than
+    tolerance times the sum of all seeds; each round's moves are `damping` times the last one's at most, so they do end.
     Scores are summed by (kind, host) after partial sums, so a host that a third of all edges enter is one row per task.
     """
     seeds = materialise(seeds, "seeds")
@@ -65,7 +66,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     score = materialise(start, "score")
     if steps.isEmpty():
         return score
-    for _ in range(rounds):
+    least = tolerance * (seeds.agg(F.sum("seed")).first()[0] or 0.0)
+    while True:
         moved = score.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
         new = materialise(start.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score")), "score")
         change = (
@@ -74,7 +76,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
             .first()[0]
         )
         score = new
-        if change is None or change <= tolerance:
+        if change is None or change <= least:
             break
     return score
 
