@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanwork.functions.text import strip
 from gleanwork.sources.files import parse_files
 
 #: Names of folders of chats, or parts of them.
@@ -87,5 +88,5 @@ def chat_messages(messages: DataFrame) -> DataFrame:
     m = lambda k: F.coalesce(F.try_element_at("meta", F.lit(k)), F.lit(""))
     return parsed.select(
         of[1].alias("folder"), m("subject").alias("topic"), F.try_to_timestamp(m("date")).alias("ts"), F.when(m("sender_name") != "", m("sender_name")).otherwise(m("sender")).alias("sender"),
-        F.trim(F.coalesce(F.try_element_at("pages", F.lit(1)), F.lit(""))).alias("body"), of[2].cast("int").alias("n"),
+        strip(F.coalesce(F.try_element_at("pages", F.lit(1)), F.lit(""))).alias("body"), of[2].cast("int").alias("n"),
     )
