@@ -16,7 +16,7 @@ import os
 import re
 import zlib
 from array import array
-from itertools import chain
+from itertools import chain, compress
 from operator import itemgetter
 
 import numpy as np
@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .parts import release
 
 MODEL = os.environ.get("GLEANWORK_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 LITERAL = "\udfff"  # stands for a mark that the text itself has; no valid text holds it
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE_WORDS, CACHE_PIECES = 1_000_000, 16_000_000
+CACHE_WORDS, CACHE_PIECES = 400_000, 16_000_000  # about 270 bytes a word, in every worker
 LOW = float("-inf")
 KEPT_CHARS = 4096  # of a lattice whose edges are kept between the two passes
 _ids = itemgetter(2)
@@ -209,11 +210,13 @@ def best_and_gap(s: str, vocabulary: Vocabulary) -> tuple[float, float, tuple[in
 
 
 class _Words:
-    """Best segmentations of words: numbers by word, and along them sizes, starts in `flat`, scores and gaps."""
+    """Best segmentations of words: numbers by word, and along them sizes, starts in `flat`, scores, gaps, and whether they
+    were met again."""
 
     def __init__(self):
         self.at: dict[str, int] = {}
         self.flat, self.size, self.start, self.score, self.gap = array("i"), array("i"), array("q"), array("d"), array("d")
+        self.again = bytearray()
 
     def add(self, word: str, score: float, gap: float, ids) -> int:
         k = self.at[word] = len(self.at)
@@ -222,11 +225,29 @@ class _Words:
         self.flat.extend(ids)
         self.score.append(score)
         self.gap.append(gap)
+        self.again.append(0)
         return k
 
+    def turn(self) -> None:
+        """Keeps the words that a later text had, too, since the last turn: most words are met once. None, if those are many."""
+        stay = np.frombuffer(self.again, np.bool_)
+        words = list(compress(self.at, stay))
+        size, start = np.frombuffer(self.size, np.int32)[stay], np.frombuffer(self.start, np.int64)[stay]
+        ends = np.cumsum(size, dtype=np.int64)
+        n = int(size.sum(dtype=np.int64))
+        if len(words) > CACHE_WORDS // 2 or n > CACHE_PIECES // 2:
+            self.__init__()
+            return
+        flat = np.frombuffer(self.flat, np.int32)[np.repeat(start - ends + size, size) + np.arange(n)]
+        score, gap = np.frombuffer(self.score, np.float64)[stay], np.frombuffer(self.gap, np.float64)[stay]
+        self.__init__()
+        self.at = {w: k for k, w in enumerate(words)}
+        self.flat, self.size, self.start = array("i", flat.tobytes()), array("i", size.tobytes()), array("q", (ends - size).tobytes())
+        self.score, self.gap, self.again = array("d", score.tobytes()), array("d", gap.tobytes()), bytearray(len(words))
+
 
 class Encoder:
-    """Encodes whole texts; keeps the words that it has met, and starts anew at CACHE_WORDS of them or CACHE_PIECES pieces."""
+    """Encodes whole texts; keeps the words that it has met; at CACHE_WORDS of them or CACHE_PIECES pieces, those met again."""
 
     def __init__(self, path: str = MODEL, n: int = 4, vocabulary: Vocabulary | None = None):
         self.vocabulary = vocabulary or Vocabulary(path)
@@ -237,15 +258,18 @@ class Encoder:
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         if len(self.known.at) >= CACHE_WORDS or len(self.known.flat) >= CACHE_PIECES:
-            self.known = _Words()
+            self.known.turn()
         at = self.known.at
+        before = len(at)
         found = list(map(at.get, words))
         if None in found:
             for i, k in enumerate(found):
                 if k is None:
                     k = at.get(words[i])
                     found[i] = self.known.add(words[i], *best_and_gap(words[i], self.vocabulary)) if k is None else k
-        return np.array(found, np.int64)
+        which = np.array(found, np.int64)
+        np.frombuffer(self.known.again, np.uint8)[which[which < before]] = 1
+        return which
 
     def words(self, text: str) -> list[str]:
         """The chain of lattices: a space is put before the text; marks of the text's own are set apart."""
@@ -373,6 +397,8 @@ def _encode(path: str, n: int, decode: bool):
                     start, held, got = k + 1, 0, tuple([] for _ in range(5))
             if got[0]:
                 yield batch_of(rows.slice(start), *got)
+            batch = rows = texts = got = None
+            release()
 
     return run
 

@@ -244,17 +244,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_words:
     return model
 
 
-def scorer(shared):
+def scorer(shared, text: int):
+    """text: the place of the text in `row`."""
+
     def score(batches):
         import pyarrow as pa
 
         model, vocabulary = shared.value, Vocabulary()
         for batch in batches:
             out = []
-            for t in batch.column(1).to_pylist():
-                words = WORD.findall((t or "").lower())
+            for t in batch.column(0).field(text):  # a row at a time: a batch may be large
+                words = WORD.findall((t.as_py() or "").lower())
                 out.append(model.score(vocabulary.buckets(words), guess_language(words)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["row", "score"])
+            batch = out = t = words = None
+            release()
 
     return score
 
@@ -269,9 +273,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train_on: DataFrame | No
     """
     model = train(docs if train_on is None else train_on, labels, per_class)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    # Workers read the text in `row`: it is sent once.
+    place = docs.columns.index("text") if "text" in docs.columns else [c.lower() for c in docs.columns].index("text")
+    plain = docs.select(F.struct(*docs.columns).alias("row"))
     schema = plain.select("row").schema.add("score", "double")
-    return plain.mapInArrow(scorer(shared), schema)
+    return plain.mapInArrow(scorer(shared, place), schema)
 
 
 def op4_toxicity_cnn(spark, sf_dir):

@@ -371,6 +371,51 @@ def test_one_lattice_where_pieces_cross_words():
     assert e.encode("a a")[1] == [-1.5, -4.0] and e.decode(e.encode("a a")[0]) == "a a"
 
 
+def test_words_met_again_stay_when_the_cache_is_full(monkeypatch):
+    v = pieces.Vocabulary.of({"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁a": -3.5, "▁ab": -4.0, "ba": -4.0})
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 40)
+    e, rng = pieces.Encoder(n=3, vocabulary=v), random.Random(3)
+    for k in range(200):
+        text = " ".join(["ab", "aab", *("".join(rng.choices("ab", k=12)) for _ in range(5))])
+        ids, scores, edits = e.encode(text)
+        plain = pieces.Encoder(n=3, vocabulary=v).encode(text)
+        assert (ids == plain[0]).all() and scores == plain[1] and len(edits) == len(plain[2])
+        assert e.decode(ids) == text and len(e.known.at) < 40 + 7
+        assert k == 0 or {"▁ab", "▁aab"} <= set(e.known.at)
+        assert list(e.known.at.values()) == list(range(len(e.known.score)))
+
+
+def test_words_kept_take_a_bounded_part_of_a_worker(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(pieces, "best_and_gap", lambda word, v: (-1.0, 1.0, tuple(range(5))))
+    monkeypatch.setattr(pieces, "n_best", lambda word, v, n: [(-1.0, tuple(range(5)))])
+    e = pieces.Encoder(vocabulary=pieces.Vocabulary.of({"a": -1.0}))
+    tracemalloc.start()
+    try:
+        for k in range(120):
+            e.encode(" ".join(f"word{i}" for i in range(k * 10_000, (k + 1) * 10_000)))
+        assert tracemalloc.get_traced_memory()[1] < 150e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_the_scorer_reads_texts_in_their_rows():
+    import pyarrow as pa
+
+    model = toxicity.Model()
+
+    class Shared:
+        value = model
+
+    texts = ["the cat sat", None, "", "der Hund und die Katze"]
+    row = pa.StructArray.from_arrays([pa.array(range(4)), pa.array(texts)], ["doc_id", "text"])
+    (out,) = toxicity.scorer(Shared, 1)(iter([pa.RecordBatch.from_arrays([row], ["row"])]))
+    words = [toxicity.WORD.findall((t or "").lower()) for t in texts]
+    assert out.column(1).to_pylist() == [model.score(toxicity.Vocabulary().buckets(w), toxicity.guess_language(w)) for w in words]
+    assert out.column(0).equals(row)
+
+
 # ---- parts ----
 
 
